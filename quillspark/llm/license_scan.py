@@ -42,8 +42,8 @@ NOTICES = (
     ("all-rights-reserved", "copyright all rights reserved", ("all rights reserved",)),
 )
 
-#: A word is rare in the index if at most this share of the templates contain it.
-RARE_SHARE = 0.35
+#: So many of a notice's highest-IDF words are posted in the index, and half of a short one's.
+ANCHORS = 4
 #: Least part of a notice's word weight that must be found around its place.
 COVERAGE = 0.6
 #: Words that may have been inserted before a notice's word, for each word of the notice.
@@ -62,7 +62,7 @@ def words_of(text: str | None) -> list[bytes]:
 class LicenseIndex:
     """Postings (template, position) of each template's rarest words, and what must hold at a template's place."""
 
-    def __init__(self, base=BASE_PHRASES, notices=NOTICES, rare_share: float = RARE_SHARE):
+    def __init__(self, base=BASE_PHRASES, notices=NOTICES, anchors: int = ANCHORS):
         self.templates = [(label, words_of(phrase), [words_of(phrase)], True) for label, phrase in base]
         self.templates += [(label, words_of(t), [words_of(k) for k in keys], False) for label, t, keys in notices]
         n = len(self.templates)
@@ -71,14 +71,13 @@ class LicenseIndex:
             for w in words:
                 holders[w].add(t)
         self.idf = {w: math.log(1 + n / len(ts)) for w, ts in holders.items()}
-        rare = math.log(1 + 1 / rare_share)
         self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
-        for t, (_, words, keys, base_phrase) in enumerate(self.templates):
-            top = max(self.idf[w] for w in words)
-            anchors = {i for i, w in enumerate(words) if self.idf[w] >= rare or self.idf[w] == top}
-            if base_phrase:  # one place each, so that every occurrence is met exactly once
-                anchors = {min(i for i in anchors if self.idf[words[i]] == top)}
-            for i in sorted(anchors):
+        for t, (_, words, _, base_phrase) in enumerate(self.templates):
+            # Of equally rare words the longer one is rarer in running text.
+            ranked = sorted(set(words), key=lambda w: (-self.idf[w], -len(w), w))
+            chosen = set(ranked[: 1 if base_phrase else max(1, min(anchors, len(ranked) // 2))])
+            places = [i for i, w in enumerate(words) if w in chosen]
+            for i in places[:1] if base_phrase else places:  # a base phrase's every occurrence is met exactly once
                 self.postings[words[i]].append((t, i))
 
     def scan(self, words: list[bytes]) -> tuple[list[tuple[int, str]], dict[str, float]]:
