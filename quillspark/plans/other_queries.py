@@ -8,7 +8,7 @@ from quillspark import schema as S
 from quillspark.functions import text as X
 from quillspark.operators import evaluation, graph, questions as Q, retrieval, temporal, vector
 from quillspark.plans.common import (
-    CANONICAL, EVENTS, LINES, STEPS, array, ask_forward, ask_reverse, event_edges, event_nodes, flat, line_edges, listed, query,
+    CANONICAL, EVENTS, LINES, STEPS, array, ask_forward, ask_reverse, event_edges, flat, line_edges, listed, query,
 )
 from quillspark.plans.graph_queries import _WALKS
 from quillspark.sources import relations as R
