@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import os
+import re
 import struct
-import zlib
 
+import numpy as np
 from pyspark.sql import DataFrame
 
 from quillspark.llm.common import map_rows
@@ -14,6 +15,8 @@ from quillspark.llm.common import map_rows
 MODEL_FILE = "piece_bpe_32k.model"
 #: Threads that the library may use in a task.
 THREADS = 2
+#: Marked words whose ids a task keeps.
+KEPT_WORDS = 150_000
 #: Fixed values of the model format: kinds of pieces and of models.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
@@ -142,13 +145,136 @@ def _loaded(data: bytes, threads: int):
     return model, model.tokenizer()
 
 
+def pack(ids: list[int]) -> bytes:
+    """Ids as little-endian 32-bit numbers."""
+    return np.array(ids, "<i4").tobytes()
+
+
+def unpack(ids: bytes) -> list[int]:
+    return np.frombuffer(ids, "<i4").tolist()
+
+
+class WholeTexts:
+    """Encodes, decodes and checks batches of whole texts."""
+
+    def __init__(self, data: bytes, threads: int, verify: bool = True):
+        self.model, self.tokenizer = _loaded(data, threads)
+        self.threads, self.checker = threads, None
+        if verify:
+            import sentencepiece
+
+            self.checker = sentencepiece.SentencePieceProcessor(model_proto=data)
+
+    def encoded(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def decoded(self, ids: list[list[int]]) -> list[str]:
+        return self.tokenizer.decode_batch(ids, skip_special_tokens=False)
+
+    def same(self, texts: list[str], ids: list[list[int]]) -> list[bool | None]:
+        """Whether the sentencepiece library gives the same ids; None if that is not to be checked."""
+        if self.checker is None:
+            return [None] * len(ids)
+        return [a == b for a, b in zip(self.checker.encode(texts, num_threads=self.threads), ids)]
+
+    def __call__(self, texts: list[str]) -> tuple[list[bytes], list[bool], list[bool | None]]:
+        """The packed ids of each text; whether decoding gives the text back (or, if normalising changes texts, the ids); parity."""
+        ids = self.encoded(texts)
+        back = self.decoded(ids)
+        equal = [a == b for a, b in zip(texts, back)] if self.model.plain else [a == b for a, b in zip(self.encoded(back), ids)]
+        return [pack(i) for i in ids], equal, self.same(texts, ids)
+
+
+class MarkedWords(WholeTexts):
+    """The same for models that may be applied word by word: each word is encoded, decoded and checked once while it is kept.
+
+    No piece goes on over a space, so the ids of a text are those of its words in a row, each with the markers before it.
+    New words are put in a row and go through each library as one text; the words of the row are told apart
+    by the marker that each begins with.
+    """
+
+    def __init__(self, data: bytes, threads: int, verify: bool = True):
+        from tokenizers import pre_tokenizers
+
+        super().__init__(data, threads, verify)
+        self.tokenizer.normalizer = None
+        self.by_marker = pre_tokenizers.Metaspace(SPACE, "never", True)
+        self.begins = np.array([p.startswith(SPACE) for p, _, _ in self.model.pieces])
+        self.words: dict[str, bytes] = {}
+        self.odd: set[str] = set()  # kept words that do not decode to themselves
+        self.apart: set[str] = set()  # kept words without parity
+        self.units = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+
+    def split(self, text: str) -> list[str]:
+        """Words without their first marker; further markers of a run of spaces belong to the word behind."""
+        if not text:
+            return []
+        if "  " in text or SPACE in text or text[0] == " ":
+            return [u[1:] for u in self.units.findall(SPACE + text.replace(" ", SPACE))]
+        return text.split(" ")
+
+    def learn(self, words: list[str]) -> None:
+        plain = [w for w in words if w and SPACE not in w]
+        self._learn_row(plain)
+        self._learn_each([w for w in words if not w or SPACE in w])
+
+    def _learn_row(self, words: list[str]) -> None:
+        if not words:
+            return
+        size = -(-len(words) // self.threads)
+        rows = [words[i : i + size] for i in range(0, len(words), size)]
+        texts = [" ".join(r) for r in rows]
+        self.tokenizer.pre_tokenizer = self.by_marker
+        coded = self.encoded([" " + t for t in texts])
+        back, same = self.decoded(coded), self.same(texts, coded)
+        for row, text, ids, again, parity in zip(rows, texts, coded, back, same):
+            numbers = np.array(ids, "<i4")
+            cuts = (4 * np.flatnonzero(self.begins[numbers])).tolist()
+            if len(cuts) != len(row) or again != text or parity is False:
+                self._learn_each(row)  # some word of this row is special; find out which
+            else:
+                packed = numbers.tobytes()
+                self.words.update(zip(row, [packed[i:j] for i, j in zip(cuts, [*cuts[1:], len(packed)])]))
+
+    def _learn_each(self, words: list[str]) -> None:
+        """Words one by one, each with all its markers as one piece of text."""
+        self.tokenizer.pre_tokenizer = None
+        coded = self.encoded([SPACE + w for w in words])
+        self.words.update(zip(words, map(pack, coded)))
+        self.odd.update(w for w, b in zip(words, self.decoded(coded)) if w != b)
+        texts = [w.replace(SPACE, " ") if w else None for w in words]
+        checked = self.same([t or "" for t in texts], coded)
+        self.apart.update(w for w, t, parity in zip(words, texts, checked) if t is not None and parity is False)
+
+    def __call__(self, texts: list[str]) -> tuple[list[bytes], list[bool], list[bool | None]]:
+        split = [self.split(t) for t in texts]
+        if len(self.words) > KEPT_WORDS:
+            self.words, self.odd, self.apart = {}, set(), set()
+        self.learn(list({w for words in split for w in words} - self.words.keys()))
+        ids = [b"".join(map(self.words.__getitem__, words)) for words in split]
+        # Runs of spaces and markers in the text decode to spaces: such texts are decoded whole.
+        equal = [SPACE not in t and (not self.odd or self._decodes(t, words, i)) for t, words, i in zip(texts, split, ids)]
+        if self.checker is None:
+            return ids, equal, [None] * len(ids)
+        return ids, equal, [not self.apart or self.apart.isdisjoint(words) for words in split]
+
+    def _decodes(self, text: str, words: list[str], ids: bytes) -> bool:
+        return self.odd.isdisjoint(words) or self.tokenizer.decode(unpack(ids), skip_special_tokens=False) == text
+
+
+def codec(data: bytes, threads: int = THREADS, verify: bool = True) -> WholeTexts:
+    model = PieceModel(data)
+    marked = model.plain and model.dummy_prefix and model.words_apart() and any(p == SPACE for p, _, _ in model.pieces)
+    return (MarkedWords if marked else WholeTexts)(data, threads, verify)
+
+
 def encode_documents(
     docs: DataFrame, model_path: str | None = None, id_col: str = "doc_id", text_col: str = "text",
     carry: tuple[str, ...] = (), threads: int = THREADS, verify: bool = True,
 ) -> DataFrame:
     """(id, *carry, ids, decoded_equal, parity), a row per input row, without a shuffle.
 
-    ids are the token ids of the whole text. decoded_equal: decoding them gives the text back (for models whose
+    ids are the token ids of the whole text, packed as little-endian 32-bit numbers. decoded_equal: decoding them gives the text back (for models whose
     normaliser changes texts: gives what re-encodes to the same ids). parity: the ids equal those of the sentencepiece
     library, null if verify is off. Null text: null ids, decoded_equal and parity null; empty text: no ids.
     Repeated rows get equal results. An empty table gives no rows. The model's bytes travel with the task.
@@ -157,24 +283,12 @@ def encode_documents(
         data = f.read()
 
     def start():
-        model, tokenizer = _loaded(data, threads)
-        checker = None
-        if verify:
-            import sentencepiece
-
-            checker = sentencepiece.SentencePieceProcessor(model_proto=data)
+        apply = codec(data, threads, verify)
 
         def step(rows):
             rows = list(rows)
             texts = [r[1] for r in rows if r[1] is not None]
-            ids = [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-            back = tokenizer.decode_batch(ids, skip_special_tokens=False)
-            if model.plain:
-                equal = [a == b for a, b in zip(texts, back)]
-            else:
-                equal = [e.ids == i for e, i in zip(tokenizer.encode_batch_fast(back, add_special_tokens=False), ids)]
-            same = [a == b for a, b in zip(checker.encode(texts, num_threads=threads), ids)] if checker else [None] * len(ids)
-            results = iter(zip(ids, equal, same))
+            results = iter(zip(*apply(texts)))
             for key, text, *rest in rows:
                 yield (key, *rest, *(next(results) if text is not None else (None, None, None)))
 
@@ -183,7 +297,7 @@ def encode_documents(
     kinds = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
     kind = docs.schema[id_col].dataType.simpleString()
     return map_rows(
-        docs.select(id_col, text_col, *carry), f"`{id_col}` {kind}{kinds}, ids array<int>, decoded_equal boolean, parity boolean", start
+        docs.select(id_col, text_col, *carry), f"`{id_col}` {kind}{kinds}, ids binary, decoded_equal boolean, parity boolean", start
     )
 
 
@@ -197,14 +311,9 @@ def decode_documents(rows: DataFrame, model_path: str | None = None, id_col: str
 
         def step(batch):
             for key, ids in batch:
-                yield key, None if ids is None else tokenizer.decode(ids, skip_special_tokens=False)
+                yield key, None if ids is None else tokenizer.decode(unpack(ids), skip_special_tokens=False)
 
         return step
 
     kind = rows.schema[id_col].dataType.simpleString()
     return map_rows(rows.select(id_col, ids_col), f"`{id_col}` {kind}, text string", start)
-
-
-def ids_crc(ids: list[int] | None) -> int | None:
-    """crc32 of the ids as little-endian 32-bit numbers, a digest that does not depend on the engine."""
-    return None if ids is None else zlib.crc32(struct.pack(f"<{len(ids)}i", *ids))

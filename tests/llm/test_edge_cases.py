@@ -77,7 +77,7 @@ def test_edge_results(docs, labels):
     ruled = {r["doc_id"]: r for r in quality_rules.quality_rules(docs).collect()}
     assert ruled[2]["base_failed"] and ruled[5]["n_words"] == len(LONG.split()) and not ruled[5]["kept"]
     coded = {r["doc_id"]: r for r in sentencepiece_codec.encode_documents(docs).collect()}
-    assert coded[2]["ids"] is None and coded[3]["ids"] == [] and all(r["parity"] for k, r in coded.items() if k not in (2, None))
+    assert coded[2]["ids"] is None and coded[3]["ids"] == b"" and all(r["parity"] for k, r in coded.items() if k not in (2, None))
     edited = {r["doc_id"]: r for r in fingerprints.fingerprint_edits(docs).where("doc_id IS NOT NULL").collect()}
     assert edited[6]["fingerprint"] == edited[7]["fingerprint"] and edited[2]["n_chars"] == 0
 
