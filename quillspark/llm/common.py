@@ -19,6 +19,8 @@ cloudpickle.register_pickle_by_value(_package)
 
 #: Rows taken out of an Arrow batch at a time, which bounds the Python objects alive.
 SLICE_ROWS = 256
+#: Rows in an Arrow batch where the session leaves the default; whole texts make batches of the default's rows large.
+BATCH_ROWS, DEFAULT_BATCH_ROWS = "1000", "10000"
 
 WHITESPACE = r"[\x20\x09-\x0D]"
 NON_SPACE = r"[^\x20\x09-\x0D]+"
@@ -76,22 +78,46 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == DEFAULT_BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
+def give_back() -> None:
+    """Return a finished task's memory to the system, as Python workers live on between tasks."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only the GNU library has it
+    if trim is not None:
+        trim(0)
+
+
 def map_rows(
     df: DataFrame, schema: str, start: Callable[[], Callable[[Iterable[tuple]], Iterator[tuple]]]
 ) -> DataFrame:
-    """mapInArrow over tuples. start() runs once in each task and returns a function from rows to rows."""
+    """mapInArrow over tuples. start() runs once in each task and returns a function from rows to rows.
+
+    Lowers the session's Arrow batch size from its default, so that buffers of whole texts stay small on both sides.
+    """
+    small_batches(df.sparkSession)
     from pyspark.sql.types import _parse_datatype_string
 
     fields = _parse_datatype_string(schema).fieldNames()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = start()
+        batch = rows = None
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE_ROWS):
-                part = batch.slice(at, SLICE_ROWS)
-                rows = list(step(zip(*(column.to_pylist() for column in part.columns))))
+                rows = list(step(zip(*(column.slice(at, SLICE_ROWS).to_pylist() for column in batch.columns))))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=fields)
+        del step, batch, rows
+        give_back()
 
     return df.mapInArrow(_typed(run, schema), schema)
 

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import SLICE_ROWS, map_rows, materialise
+from quillspark.llm.common import SLICE_ROWS, give_back, map_rows, materialise, small_batches
 
 #: Band of document frequency, as shares of all documents: terms outside it are not in the lexicon.
 #: A document has T distinct terms on average, so at most T / LEAST_SHARE terms lie in the band, whatever the corpus.
@@ -31,7 +31,7 @@ _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 
 
 class TermHashes(dict):
-    limit = 500_000
+    limit = 200_000
 
     def __missing__(self, term: bytes) -> int:
         if len(self) >= self.limit:
@@ -116,7 +116,10 @@ def build_lexicon(docs: DataFrame, text_col: str = "text") -> np.ndarray:
                     held, kept = [], 0
         if kept:
             yield counted()
+        del hashes, held
+        give_back()
 
+    small_batches(docs.sparkSession)
     rows = docs.select(text_col).count()
     counts = docs.select(text_col).mapInArrow(run, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
     counts = materialise(counts.where(f"n >= {LEAST_SHARE * rows} AND n <= {max(1.0, MOST_SHARE * rows)}"), "lexicon")
@@ -203,6 +206,8 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         if held is not None:
             edge = lambda r, k: (r[0], None, None, r[2], None, None, None, r[1], part, k)
             yield out([edge(first, 1), edge(held, 2)])
+        del match
+        give_back()
 
     def edges(batches):
         match, first, held = IMatch(shared.value), None, None
