@@ -6,7 +6,6 @@ import numpy as np
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from quillspark.llm.common import map_rows, materialise
 from quillspark.llm.components import connected_components
@@ -20,8 +19,10 @@ BANDS, ROWS = 12, 2
 LEADERS = 3
 #: Most document ids broadcast to pick the candidates' texts (8 bytes each); beyond it they are shuffled.
 BROADCAST_IDS = 2_000_000
-#: Members of a table's group between which pairs are made directly; larger groups are compared in blocks.
-SMALL_GROUP, BLOCK = 32, 64
+#: Members of a table's group between which pairs are made directly.
+SMALL_GROUP = 32
+#: In larger groups, a shingle is rare if at most so many of their members have it.
+RARE = 16
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _S32 = np.uint64(32)
@@ -36,7 +37,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """64-bit hashes of words, kept for the words of late."""
 
-    limit = 500_000
+    limit = 200_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.limit:
@@ -147,9 +148,10 @@ def near_duplicates(
     1. Digest every document: distinct shingles, 2 x BANDS band hashes. 2. Documents with equal sets are one class, known
     by its smallest id. 3. A band that no other class shares can't be part of a shared table key; the rest are
     combined, each of the first collection with each of the second, into table keys. 4. In each table every member is verified
-    against one leader. 5. Members of a table that are not yet in one component are verified against
-    each other: directly in small groups, block by block in larger ones. So every pair that shares a table key is
-    verified on full sets, or is connected already. 6. Components of the verified links.
+    against one leader. 5. Members of a table that are not yet in one component are verified against each other:
+    directly in small groups; in larger ones where they share a rare shingle or where their sizes and cores allow similarity
+    without one. So every pair that shares a table key is verified on full sets, is connected already, or is
+    proven not to be similar. 6. Components of the verified links.
 
     Null, empty or blank text: n_shingles 0, linked with nothing. A null id can't be linked: component_id
     null, kept. Rows that repeat an id are one node with the links of each. An empty table gives no rows. Other
@@ -190,9 +192,14 @@ def near_duplicates(
     )
     links = materialise(_verified(led, sets, kind, percent), "leader-links")
     rest = _unsettled(grouped, leaders, links)
-    more = materialise(_between(rest, sets, kind, percent), "more-links")
+    small = _between_few(rest.where(F.col("members") <= SMALL_GROUP), sets, kind, percent)
+    links = materialise(links.union(small), "more-links")
+    large = rest.where(F.col("members") > SMALL_GROUP)
+    if not large.isEmpty():
+        bands = members.where("bands IS NOT NULL").select("id", "bands")
+        links = _between_many(large, bands, links, sets, kind, percent)
     same = members.where("id <> rep").select(F.col("id").alias("src"), F.col("rep").alias("dst"))
-    components = connected_components(links.union(more).union(same).distinct())
+    components = connected_components(links.union(same).distinct())
     return digests.join(components, digests["id"] == components["node"], "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"),
         (F.col("id").isNull() | F.col("component").isNull() | (F.col("id") == F.col("component"))).alias("kept"),
@@ -200,9 +207,9 @@ def near_duplicates(
 
 
 def _table_keys(classes: DataFrame) -> DataFrame:
-    """(key, turn, id, n, draw): tensored table keys of (id, n, bands), without those no other class can share.
+    """(key, first_key, i, turn, id, n, draw): tensored table keys of (id, n, bands), without those no other class can share.
 
-    draw orders a group for the choice of its leader, differently for each turn.
+    first_key is that of the band of the first collection alone, and i its place. draw orders a group for the choice of its leader, differently for each turn.
     """
     bands = classes.select("id", "n", F.posexplode("bands").alias("slot", "band"))
     shared = bands.groupBy("slot", "band").agg(F.count("*").alias("holders")).where("holders > 1").drop("holders")
@@ -216,18 +223,18 @@ def _table_keys(classes: DataFrame) -> DataFrame:
     ).select("id", "n", "x", F.explode("ys").alias("y"))
     turn = F.pmod(F.col("x.slot"), F.lit(LEADERS))
     return pairs.select(
-        F.xxhash64("x.slot", "y.slot", "x.band", "y.band").alias("key"), turn.cast("int").alias("turn"), "id", "n",
-        F.xxhash64(turn, "id").alias("draw"),
+        F.xxhash64("x.slot", "y.slot", "x.band", "y.band").alias("key"),
+        F.xxhash64("x.slot", "x.band").alias("first_key"), F.col("x.slot").alias("i"), turn.cast("int").alias("turn"), "id", "n", F.xxhash64(turn, "id").alias("draw"),
     ).distinct()
 
 
 def _unsettled(grouped: DataFrame, leaders: DataFrame, links: DataFrame) -> DataFrame:
-    """(key, id, n, component, members) of the groups whose members, but for the leader, lie in several components."""
+    """(key, first_key, i, id, n, component, members) of the groups whose members, but for the leader, lie in several components."""
     found = materialise(connected_components(links), "first-components")
     placed = (
         grouped.where("size > 2").join(leaders, "key").where("id <> lead")
         .join(found.withColumnRenamed("node", "id"), "id", "left")
-        .select("key", "id", "n", F.coalesce("component", "id").alias("component"))
+        .select("key", "first_key", "i", "id", "n", F.coalesce("component", "id").alias("component"))
     )
     placed = materialise(placed, "placed")
     split = placed.groupBy("key").agg(
@@ -236,9 +243,8 @@ def _unsettled(grouped: DataFrame, leaders: DataFrame, links: DataFrame) -> Data
     return materialise(placed.join(split, "key"), "unsettled")
 
 
-def _between(rest: DataFrame, sets: DataFrame, kind: str, percent: int) -> DataFrame:
-    """Verified links between different components of each unsettled group."""
-    small = rest.where(F.col("members") <= SMALL_GROUP)
+def _between_few(small: DataFrame, sets: DataFrame, kind: str, percent: int) -> DataFrame:
+    """Verified links between different components of each small group: at most SMALL_GROUP^2 / 2 pairs for each."""
     x, y = small.alias("x"), small.alias("y")
     direct = (
         x.join(y, F.col("x.key") == F.col("y.key"))
@@ -247,49 +253,89 @@ def _between(rest: DataFrame, sets: DataFrame, kind: str, percent: int) -> DataF
         .select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
         .distinct()
     )
-    return _verified(direct, sets, kind, percent).union(_blocks(rest.where(F.col("members") > SMALL_GROUP), sets, kind, percent))
+    return _verified(direct, sets, kind, percent)
 
 
-def _blocks(large: DataFrame, sets: DataFrame, kind: str, percent: int) -> DataFrame:
-    """Links within large unsettled groups: members are dealt to blocks by hash, and pairs of blocks are compared in Python.
+def _between_many(large: DataFrame, bands: DataFrame, links: DataFrame, sets: DataFrame, kind: str, percent: int) -> DataFrame:
+    """links with those between different components of each large group, without making all pairs of a group.
 
-    Groups that share members over many tables are compared once: a member takes part through the largest of its
-    groups' tables in each collection of tables only if that pair of blocks is new.
+    A shingle is rare if at most RARE members of large groups have it; a member's core are its other shingles.
+    Two similar members either share a rare shingle, and are met in that shingle's short list, or have all that they share in
+    both cores: then 100 * least core >= percent * (sum of sizes - least core). That bound holds for hardly any
+    pair but those close to what the group has in common, and most of these are linked through the member with the
+    fewest rare shingles, which is verified first. What the bound still allows between components is verified; members
+    that meet many times make a pair at their first common band only.
+
+    As this holds for any two documents, members are grouped by their bands of the first collection alone: groups that contain
+    those of the tables, and one row for each of a member's bands instead of one for each of its tables.
     """
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    dealt = large.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    spread = dealt.select(
-        "key", "id", "component", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    ).select(
-        F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("unit"), "id", "component",
-        (F.col("block") <= F.col("other")).alias("first"), (F.col("block") >= F.col("other")).alias("second"),
+    large = large.select(F.col("first_key").alias("key"), "i", "id", "n", "component").distinct()
+    owners = large.select("id").distinct()
+    tokens = materialise(_tokens(sets.join(owners, "id", "left_semi"), kind), "tokens")
+    holders = tokens.groupBy("token").agg(F.count("*").alias("holders")).where(F.col("holders") <= RARE)
+    rare = materialise(tokens.join(holders, "token"), "rare")
+    size_of = tokens.select("id", "n").distinct()
+    cores = size_of.join(rare.groupBy("id", "n").agg(F.count("*").alias("rare")), ["id", "n"], "left").groupBy("id").agg(
+        F.min("n").alias("n"), F.max(F.col("n") - F.coalesce("rare", F.lit(0))).alias("core")
+    )
+    cores = materialise(cores, "cores")
+    placed = materialise(large.drop("n").join(cores, "id"), "large")
+    part = placed.select("id", "component").distinct()
+    listed = rare.where("holders > 1").select("token", "id").join(part, "id")
+    x, y = listed.alias("x"), listed.alias("y")
+    sharing = x.join(y, F.col("x.token") == F.col("y.token")).where("x.id < y.id AND x.component <> y.component").select(
+        F.col("x.id").alias("a"), F.col("y.id").alias("b")
+    )
+    centres = placed.groupBy("key").agg(F.min_by("id", F.struct(F.col("n") - F.col("core"), "id")).alias("centre"))
+    centres = centres.join(
+        part.select(F.col("id").alias("centre"), F.col("component").alias("cc")).join(
+            cores.select(F.col("id").alias("centre"), F.col("n").alias("cn"), F.col("core").alias("ck")), "centre"
+        ), "centre",
+    )
+    around = placed.join(centres, "key").where("component <> cc").where(_cores_suffice("n", "core", "cn", "ck", percent)).select(
+        F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")
+    )
+    links = materialise(links.union(_verified(sharing.union(around).distinct(), sets, kind, percent)), "centre-links")
+    found = connected_components(links).withColumnRenamed("node", "id").withColumnRenamed("component", "now")
+    close = placed.join(placed.groupBy("key").agg(F.min("n").alias("least_n")), "key").where(
+        _cores_suffice("n", "core", "least_n", "core", percent)
     )
-    with_sets = spread.join(sets, "id").select("unit", "id", "component", "first", "second", "shingles")
-    dealt_units = with_sets.repartition("unit").sortWithinPartitions("unit", "id")
-
-    def compare(unit):
-        sets_of = [np.frombuffer(r[5], np.uint64) for r in unit]
-        for i, a in enumerate(unit):
-            for j, b in enumerate(unit):
-                if a[1] < b[1] and a[2] != b[2] and ((a[3] and b[4]) or (b[3] and a[4])) and similar(sets_of[i], sets_of[j], percent):
-                    yield a[1], b[1]
-
-    def run(batches):
-        import pyarrow as pa
-
-        unit, found = [], []
-
-        def done():
-            found.extend(compare(unit))
-            unit.clear()
-
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if unit and unit[0][0] != row[0]:
-                    done()
-                unit.append(row)
-        done()
-        if found:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*found)], names=["src", "dst"])
-
-    return dealt_units.mapInArrow(run, f"src {kind}, dst {kind}")
+    close = close.join(found, "id", "left").withColumn("component", F.coalesce("now", "component")).drop("now", "least_n")
+    close = materialise(close, "close")
+    split = close.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
+    open_rows = materialise(close.join(split, "key").join(bands, "id"), "open")
+    x, y = open_rows.alias("x"), open_rows.alias("y")
+    last = (
+        x.join(y, F.col("x.key") == F.col("y.key"))
+        .where("x.id < y.id AND x.component <> y.component").where(_close_in_size("x.n", "y.n", percent))
+        .where(_cores_suffice("x.n", "x.core", "y.n", "y.core", percent))
+        .where(_first_shared() == F.col("x.i"))
+        .select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    )
+    return materialise(links.union(_verified(last, sets, kind, percent)), "all-links")
+
+
+def _first_shared():
+    """Place of the first band of the first collection that the rows x and y share."""
+    same = F.zip_with(F.slice("x.bands", 1, BANDS), F.slice("y.bands", 1, BANDS), lambda a, b: a == b)
+    return F.array_position(same, True) - 1
+
+
+def _cores_suffice(n: str, core: str, other_n: str, other_core: str, percent: int):
+    """Whether two members without a common rare shingle may be similar, by sizes and cores."""
+    least = F.least(core, other_core)
+    return (100 + percent) * least >= percent * (F.col(n) + F.col(other_n))
+
+
+def _tokens(sets: DataFrame, kind: str) -> DataFrame:
+    """(id, n, token): every shingle of every set."""
+
+    def start():
+        def step(rows):
+            for key, shingles in rows:
+                yield key, len(shingles) // 8, np.frombuffer(shingles, np.int64).tolist()
+
+        return step
+
+    listed = map_rows(sets.select("id", "shingles"), f"id {kind}, n bigint, tokens array<bigint>", start)
+    return listed.select("id", "n", F.explode("tokens").alias("token"))

@@ -152,11 +152,11 @@ def edited_copies(n, base_words, edits, seed):
     return [" ".join(w) for w in out]
 
 
-@pytest.mark.parametrize("most, edits, seed", [(32, 9, 1), (32, 14, 2), (4, 14, 3)])
+@pytest.mark.parametrize("most, edits, seed", [(32, 9, 1), (32, 14, 2), (4, 14, 3), (4, 9, 4), (4, 30, 5)])
 def test_op7_groups_of_edited_copies(spark, monkeypatch, most, edits, seed):
-    """A group with members above and below the threshold; with most = 4 it is compared in blocks."""
+    """A group with members above and below the threshold; with most = 4 it goes the way of large groups."""
     monkeypatch.setattr(near_dedup, "SMALL_GROUP", most)
-    monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    monkeypatch.setattr(near_dedup, "RARE", 3)
     made = list(enumerate(edited_copies(60, 120, edits, seed) + edited_copies(25, 60, edits, seed + 10)))
     random.Random(seed).shuffle(made)
     truth = components_of({k: shingles(t) for k, t in made})
