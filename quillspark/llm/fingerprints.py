@@ -17,8 +17,9 @@ from quillspark.llm.common import SLICE_ROWS, give_back, map_rows, materialise,
 LEAST_SHARE, MOST_SHARE = 0.0005, 0.2
 #: Most lexicon terms broadcast (8 bytes each); the band's lower edge doubles until they fit.
 MAX_LEXICON = 4_000_000
-#: The full lexicon, then so many random subsets at each of these halvings of it.
-HALVINGS, SUBSETS = tuple(range(1, 9)), 3
+#: The full lexicon, then (halvings, subsets): so many random subsets after so many halvings of it. Of any text some
+#: subsets hold a term or two, and these are the ones that survive an edit.
+SUBSETS = ((1, 1), (2, 1), (3, 1), (4, 1), (5, 5), (6, 5), (7, 5), (8, 5), (9, 5), (10, 5))
 #: Hex digits for each subset's hash; an empty subset has dashes.
 DIGITS = 4
 #: Most partitions of the ordered pass.
@@ -48,7 +49,7 @@ def distinct_terms(text: str | None, hashes: TermHashes) -> np.ndarray:
 
 def subset_seeds(seed: int = 5) -> list[tuple[int, int]]:
     draw = np.random.default_rng(seed)
-    return [(0, 0)] + [(h, int(draw.integers(1, 2**63))) for h in HALVINGS for _ in range(SUBSETS)]
+    return [(0, 0)] + [(h, int(draw.integers(1, 2**63))) for h, n in SUBSETS for _ in range(n)]
 
 
 class IMatch:
