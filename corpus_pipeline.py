@@ -9,6 +9,8 @@ from quillspark.llm import mixing, near_dedup, quality_model, quality_rules, sen
 from quillspark.llm.common import materialise, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Words in a shingle and least similarity in percent of the near-dedup stage; op7's query has its own.
+SHINGLE, PERCENT = 5, 80
 
 
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,8 +27,8 @@ def apply_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies; of rows that repeat an id, one."""
-    judged = near_dedup.near_duplicates(docs)
+    """One document of each group of near copies by shingles of five words; of rows that repeat an id, one."""
+    judged = near_dedup.near_duplicates(docs, percent=PERCENT, shingle=SHINGLE)
     kept = _without(docs, judged.where("NOT kept").select("doc_id"))
     repeated = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
     if repeated.isEmpty():

@@ -13,7 +13,7 @@ from quillspark.llm.components import connected_components
 #: Similarity in percent and words in a shingle.
 PERCENT, SHINGLE = 85, 3
 #: Two collections of so many bands of so many minhashes: BANDS x BANDS tables from 2 x BANDS x ROWS minhashes.
-#: At similarity 0.85 a pair misses all tables with probability 2 (1 - 0.85^2)^12 = 4e-7.
+#: At similarity 0.85 a pair misses all tables with probability 2 (1 - 0.85^2)^12 = 4e-7, at 0.8 with 1e-5.
 BANDS, ROWS = 12, 2
 #: Different leaders that the tables of one group of copies choose.
 LEADERS = 3
@@ -76,7 +76,7 @@ def minhash_multipliers(seed: int = 7) -> np.ndarray:
     return draw.integers(0, 2**63, 2 * BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def _digests(docs: DataFrame, kind: str) -> DataFrame:
+def _digests(docs: DataFrame, kind: str, size: int) -> DataFrame:
     """(id, n, d1, d2, bands): set size, 128-bit digest of the set, and the bands' hashes."""
 
     def start():
@@ -84,7 +84,7 @@ def _digests(docs: DataFrame, kind: str) -> DataFrame:
 
         def step(rows):
             for key, text in rows:
-                own = shingle_set(text, hashes)
+                own = shingle_set(text, hashes, size)
                 if not len(own):
                     yield key, 0, 0, 0, None
                     continue
@@ -96,13 +96,13 @@ def _digests(docs: DataFrame, kind: str) -> DataFrame:
     return map_rows(docs, f"id {kind}, n bigint, d1 bigint, d2 bigint, bands array<bigint>", start)
 
 
-def _sets(docs: DataFrame, kind: str) -> DataFrame:
+def _sets(docs: DataFrame, kind: str, size: int) -> DataFrame:
     def start():
         hashes = WordHashes()
 
         def step(rows):
             for key, text in rows:
-                yield key, shingle_set(text, hashes).tobytes()
+                yield key, shingle_set(text, hashes, size).tobytes()
 
         return step
 
@@ -141,10 +141,12 @@ def _close_in_size(a: str, b: str, percent: int):
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, shingle: int = SHINGLE
 ) -> DataFrame:
     """(id, n_shingles, component_id, kept), a row per input row; component_id is the smallest id reachable over links.
 
+    Linked are documents whose sets of shingles of so many words are similar by so many percent or more.
+
     1. Digest every document: distinct shingles, 2 x BANDS band hashes. 2. Documents with equal sets are one class, known
     by its smallest id. 3. A band that no other class shares can't be part of a shared table key; the rest are
     combined, each of the first collection with each of the second, into table keys. 4. In each table every member is verified
@@ -160,7 +162,7 @@ def near_duplicates(
     """
     kind = docs.schema[id_col].dataType.simpleString()
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    digests = materialise(_digests(own, kind), "digests")
+    digests = materialise(_digests(own, kind, shingle), "digests")
     whole = digests.where("n > 0 AND id IS NOT NULL")
     classes = whole.groupBy("n", "d1", "d2").agg(F.min("id").alias("rep"))
     members = materialise(
@@ -179,7 +181,7 @@ def near_duplicates(
         picked = own.join(F.broadcast(wanted), "id", "left_semi")
     else:
         picked = own.join(wanted, "id", "left_semi")
-    sets = materialise(_sets(picked, kind), "sets")
+    sets = materialise(_sets(picked, kind, shingle), "sets")
     sizes = members.where("bands IS NOT NULL").groupBy("id").agg(F.min("n").alias("least_n"), F.max("n").alias("most_n"))
     led = grouped.join(leaders, "key").where("id <> lead").select(
         F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")
