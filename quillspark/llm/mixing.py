@@ -114,7 +114,7 @@ def mix_sources(
              F.first("source_size").alias("source_size"))
         .withColumn("upto", F.sum("words").over(in_order))
         .withColumn("need", F.col("target") - F.col("whole") * F.col("source_size"))
-        .where((F.col("upto") - F.col("words") < F.col("need")) & (F.col("upto") > F.col("need")))
+        .where((F.col("upto") - F.col("words") < F.col("need")) & (F.col("upto") >= F.col("need")))
         .select("source", F.col("slice").alias("cut"), (F.col("upto") - F.col("words")).alias("base"))
     )
     cut = materialise(cut, "mix-cut")
@@ -124,7 +124,7 @@ def mix_sources(
         .select("s.*", "c.cut", "c.base")
     )
     need = F.col("target") - F.col("whole") * F.col("source_size")
-    # Without a cutting slice all slices lie before the target.
+    # A slice that ends on the target is the cut; without a cutting slice all slices lie before the target.
     plain = joined.where("q IS NULL OR cut IS NULL OR slice <> cut").withColumn(
         "extra", F.when(F.col("q").isNotNull() & (F.col("cut").isNull() | (F.col("slice") < F.col("cut"))), 1).otherwise(0)
     )

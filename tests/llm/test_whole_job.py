@@ -2,7 +2,12 @@
 
 import re
 
+import duckdb
+import pytest
+
 import corpus_pipeline
+from quillspark.llm import mixing
+from tests.conftest import rows
 from tests.llm.test_against_brute_force import edited_copies, lower
 
 
@@ -42,3 +47,15 @@ def test_pipeline_near_dedup_takes_five_words_and_four_fifths(spark):
 def test_pipeline_near_dedup_brute_force(spark):
     texts = list(enumerate(edited_copies(40, 120, 12, 21) + edited_copies(30, 60, 8, 22)))
     assert stage_dropped(spark, texts) == near_copies_dropped(texts)
+
+
+@pytest.mark.parametrize("n, sources", [(100, 1), (300, 3), (64, 2)])
+def test_op5_slice_that_ends_on_the_target(spark, n, sources):
+    made = [(i, "w " * 10, f"s{i % sources}") for i in range(n)]
+    docs = spark.createDataFrame(made, "doc_id bigint, text string, source string")
+    mixed = mixing.mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken").toPandas()
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    assert rows(mixed) == rows(con.sql(mixing.SQL).df())
+    if sources == 1:
+        assert mixed.taken.sum() == 15 * n
