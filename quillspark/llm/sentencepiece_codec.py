@@ -186,11 +186,11 @@ class WholeTexts:
 
 
 class MarkedWords(WholeTexts):
-    """The same for models that may be applied word by word: each word is encoded, decoded and checked once while it is kept.
+    """The same for models that may be applied word by word: each word is encoded once while it is kept.
 
     No piece goes on over a space, so the ids of a text are those of its words in a row, each with the markers before it.
-    New words are put in a row and go through each library as one text; the words of the row are told apart
-    by the marker that each begins with.
+    New words are put in a row and encoded as one text; the words of the row are told apart by the marker that each
+    begins with. Both checks are of each whole text: its joined ids are decoded, and sentencepiece encodes it anew.
     """
 
     def __init__(self, data: bytes, threads: int, verify: bool = True):
@@ -200,9 +200,10 @@ class MarkedWords(WholeTexts):
         self.tokenizer.normalizer = None
         self.by_marker = pre_tokenizers.Metaspace(SPACE, "never", True)
         self.begins = np.array([p.startswith(SPACE) for p, _, _ in self.model.pieces])
+        self.spelled = [
+            bytes([int(p[3:5], 16)]) if kind == BYTE else p.replace(SPACE, " ").encode() for p, _, kind in self.model.pieces
+        ]
         self.words: dict[str, bytes] = {}
-        self.odd: set[str] = set()  # kept words that do not decode to themselves
-        self.apart: set[str] = set()  # kept words without parity
         self.units = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
     def split(self, text: str) -> list[str]:
@@ -223,15 +224,12 @@ class MarkedWords(WholeTexts):
             return
         size = -(-len(words) // self.threads)
         rows = [words[i : i + size] for i in range(0, len(words), size)]
-        texts = [" ".join(r) for r in rows]
         self.tokenizer.pre_tokenizer = self.by_marker
-        coded = self.encoded([" " + t for t in texts])
-        back, same = self.decoded(coded), self.same(texts, coded)
-        for row, text, ids, again, parity in zip(rows, texts, coded, back, same):
+        for row, ids in zip(rows, self.encoded([" " + " ".join(r) for r in rows])):
             numbers = np.array(ids, "<i4")
             cuts = (4 * np.flatnonzero(self.begins[numbers])).tolist()
-            if len(cuts) != len(row) or again != text or parity is False:
-                self._learn_each(row)  # some word of this row is special; find out which
+            if len(cuts) != len(row):
+                self._learn_each(row)  # some word of this row is special
             else:
                 packed = numbers.tobytes()
                 self.words.update(zip(row, [packed[i:j] for i, j in zip(cuts, [*cuts[1:], len(packed)])]))
@@ -239,27 +237,21 @@ class MarkedWords(WholeTexts):
     def _learn_each(self, words: list[str]) -> None:
         """Words one by one, each with all its markers as one piece of text."""
         self.tokenizer.pre_tokenizer = None
-        coded = self.encoded([SPACE + w for w in words])
-        self.words.update(zip(words, map(pack, coded)))
-        self.odd.update(w for w, b in zip(words, self.decoded(coded)) if w != b)
-        texts = [w.replace(SPACE, " ") if w else None for w in words]
-        checked = self.same([t or "" for t in texts], coded)
-        self.apart.update(w for w, t, parity in zip(words, texts, checked) if t is not None and parity is False)
+        self.words.update(zip(words, map(pack, self.encoded([SPACE + w for w in words]))))
 
     def __call__(self, texts: list[str]) -> tuple[list[bytes], list[bool], list[bool | None]]:
         split = [self.split(t) for t in texts]
         if len(self.words) > KEPT_WORDS:
-            self.words, self.odd, self.apart = {}, set(), set()
+            self.words = {}
         self.learn(list({w for words in split for w in words} - self.words.keys()))
-        ids = [b"".join(map(self.words.__getitem__, words)) for words in split]
-        # Runs of spaces and markers in the text decode to spaces: such texts are decoded whole.
-        equal = [SPACE not in t and (not self.odd or self._decodes(t, words, i)) for t, words, i in zip(texts, split, ids)]
-        if self.checker is None:
-            return ids, equal, [None] * len(ids)
-        return ids, equal, [not self.apart or self.apart.isdisjoint(words) for words in split]
-
-    def _decodes(self, text: str, words: list[str], ids: bytes) -> bool:
-        return self.odd.isdisjoint(words) or self.tokenizer.decode(unpack(ids), skip_special_tokens=False) == text
+        packed = [b"".join(map(self.words.__getitem__, words)) for words in split]
+        ids = [unpack(p) for p in packed]
+        return packed, [self._decodes(t, i) for t, i in zip(texts, ids)], self.same(texts, ids)
+
+    def _decodes(self, text: str, ids: list[int]) -> bool:
+        """Whether the ids of a whole text decode to it: by the bytes of the pieces, else by the library."""
+        spelled = b"".join(map(self.spelled.__getitem__, ids))
+        return spelled.removeprefix(b" ") == text.encode() or self.tokenizer.decode(ids, skip_special_tokens=False) == text
 
 
 def codec(data: bytes, threads: int = THREADS, verify: bool = True) -> WholeTexts:

@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 import corpus_pipeline
-from quillspark.llm import mixing
+from quillspark.llm import mixing, sentencepiece_codec
 from tests.conftest import rows
 from tests.llm.test_against_brute_force import edited_copies, lower
 
@@ -59,3 +59,14 @@ def test_op5_slice_that_ends_on_the_target(spark, n, sources):
     assert rows(mixed) == rows(con.sql(mixing.SQL).df())
     if sources == 1:
         assert mixed.taken.sum() == 15 * n
+
+
+@pytest.mark.parametrize("broken", [lambda words: words[:-1], lambda words: words[::-1], lambda words: [words[0], *words]])
+def test_op10_checks_are_of_whole_texts(monkeypatch, broken):
+    """Wrong joining of right words is reported by both checks."""
+    pieces = sentencepiece_codec.codec(open(sentencepiece_codec.default_model(), "rb").read())
+    texts = ["some words in a row", "two  spaces été 🙂", "a b"]
+    assert pieces(texts)[1:] == ([True] * 3, [True] * 3)
+    whole = pieces.split
+    monkeypatch.setattr(pieces, "split", lambda text: broken(whole(text)))
+    assert pieces(texts)[1:] == ([False] * 3, [False] * 3)
