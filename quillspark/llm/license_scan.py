@@ -44,7 +44,7 @@ NOTICES = (
 
 #: So many of a notice's highest-IDF words are posted in the index, and half of a short one's.
 ANCHORS = 4
-#: Least part of a notice's word weight that must be found around its place.
+#: Least part of a notice's word weight that must be found in its order around its place.
 COVERAGE = 0.6
 #: Words that may have been inserted before a notice's word, for each word of the notice.
 DRIFT = 0.15
@@ -85,7 +85,7 @@ class LicenseIndex:
         if self.postings.keys().isdisjoint(words):
             return [], {}
         base: list[tuple[int, str]] = []
-        votes: dict[tuple[int, int], float] = defaultdict(float)
+        places: dict[tuple[int, int], None] = {}
         for at, word in enumerate(words):
             for t, i in self.postings.get(word, ()):
                 label, own, _, exact = self.templates[t]
@@ -93,9 +93,9 @@ class LicenseIndex:
                     if at >= i and words[at - i : at - i + len(own)] == own:
                         base.append((at - i, label))
                 else:
-                    votes[t, at - i] += self.idf[word]
+                    places[t, at - i] = None
         found: dict[str, float] = {}
-        for (t, start), weight in votes.items():
+        for t, start in places:
             label, own, keys, _ = self.templates[t]
             if found.get(label, 0) >= 1:
                 continue
@@ -103,13 +103,34 @@ class LicenseIndex:
             window = words[max(0, start - slack) : max(0, start + len(own) + slack)]
             if not all(_contains(window, key) for key in keys):
                 continue
-            there = set(window)
-            distinct = set(own)
-            coverage = sum(self.idf[w] for w in distinct if w in there) / sum(self.idf[w] for w in distinct)
-            if coverage >= COVERAGE:
-                found[label] = max(found.get(label, 0.0), coverage)
+            if self._coverage(own, set(window)) >= COVERAGE:  # in any order, which is told sooner
+                coverage = self._coverage(own, self._in_order(own, window))
+                if coverage >= COVERAGE:
+                    found[label] = max(found.get(label, 0.0), coverage)
         return base, found
 
+    def _coverage(self, own: list[bytes], there: set[bytes]) -> float:
+        distinct = sorted(set(own))
+        return sum(self.idf[w] for w in distinct if w in there) / sum(self.idf[w] for w in distinct)
+
+    def _in_order(self, own: list[bytes], window: list[bytes]) -> set[bytes]:
+        """Words of the heaviest common subsequence of a notice and a window."""
+        best = [[0.0] * (len(window) + 1) for _ in range(len(own) + 1)]
+        for i, w in enumerate(own):
+            above, row, weight = best[i], best[i + 1], self.idf[w]
+            for j, v in enumerate(window):
+                row[j + 1] = above[j] + weight if v == w else max(row[j], above[j + 1])
+        words, i, j = set(), len(own), len(window)
+        while i and j:
+            if own[i - 1] == window[j - 1]:
+                words.add(own[i - 1])
+                i, j = i - 1, j - 1
+            elif best[i - 1][j] >= best[i][j - 1]:
+                i -= 1
+            else:
+                j -= 1
+        return words
+
 
 def _contains(words: list[bytes], phrase: list[bytes]) -> bool:
     first, n = phrase[0], len(phrase)
@@ -121,9 +142,9 @@ def scan_licenses(
 ) -> DataFrame:
     """(id, n_words, n_base, first_word, last_word, base_labels, labels, score), a row per input row, without a shuffle.
 
-    Each word that the index lists as rare is looked up; its postings vote for places of templates by
+    Each word that the index lists as rare is looked up; each of its postings gives a place of a template by
     relative position; at each place the mandatory key phrases must stand in full and enough of the
-    notice's weight must be near. Base phrases are templates that must stand there word for word.
+    notice's weight must be near, in the notice's order. Base phrases are templates that must stand there word for word.
     score: 1 for a base phrase, else the best coverage, else 0. Null or empty text: no words, null places, empty
     labels, score 0. Repeated rows get equal results. An empty table gives no rows. One document's words are in memory
     at a time.

@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 import corpus_pipeline
-from quillspark.llm import mixing, sentencepiece_codec
+from quillspark.llm import license_scan, mixing, sentencepiece_codec
 from tests.conftest import rows
 from tests.llm.test_against_brute_force import edited_copies, lower
 
@@ -70,3 +70,17 @@ def test_op10_checks_are_of_whole_texts(monkeypatch, broken):
     whole = pieces.split
     monkeypatch.setattr(pieces, "split", lambda text: broken(whole(text)))
     assert pieces(texts)[1:] == ([False] * 3, [False] * 3)
+
+
+def test_op1_words_of_a_notice_in_any_order_are_no_notice():
+    index = license_scan.LicenseIndex()
+    label, notice, (first, second) = license_scan.NOTICES[0]
+    start, end = notice.index(first) + len(first), notice.index(second)
+    between, after = notice[start:end].split(), notice[end + len(second) :].split()
+    mixed = " ".join([first, *between[::-1], second, *after[::-1]])
+    assert sorted(mixed.split()) == sorted(notice.split())
+    assert label not in index.scan(license_scan.words_of(mixed))[1]
+    assert index.scan(license_scan.words_of(notice))[1] == {label: 1.0}
+    edited = " ".join([first, *between[:3], "indeed", *between[4:], second, *after[2:5], "indeed", *after[6:]])
+    assert label in index.scan(license_scan.words_of(edited))[1]
+    assert "all-rights-reserved" in index.scan(license_scan.words_of("Copyright 2020 by Some Company Inc. All rights reserved."))[1]
