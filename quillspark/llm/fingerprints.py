@@ -13,10 +13,9 @@ from pyspark.sql import functions as F
 from quillspark.llm.common import SLICE_ROWS, give_back, map_rows, materialise, small_batches
 
 #: Band of document frequency, as shares of all documents: terms outside it are not in the lexicon.
-#: A document has T distinct terms on average, so at most T / LEAST_SHARE terms lie in the band, whatever the corpus.
+#: A document has T distinct terms on average, so at most T / LEAST_SHARE terms lie in the band, whatever the corpus;
+#: all of them are broadcast, 8 bytes each.
 LEAST_SHARE, MOST_SHARE = 0.0005, 0.2
-#: Most lexicon terms broadcast (8 bytes each); the band's lower edge doubles until they fit.
-MAX_LEXICON = 4_000_000
 #: The full lexicon, then (halvings, subsets): so many random subsets after so many halvings of it. Of any text some
 #: subsets hold a term or two, and these are the ones that survive an edit.
 SUBSETS = ((1, 1), (2, 1), (3, 1), (4, 1), (5, 5), (6, 5), (7, 5), (8, 5), (9, 5), (10, 5))
@@ -124,13 +123,8 @@ def build_lexicon(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     rows = docs.select(text_col).count()
     counts = docs.select(text_col).mapInArrow(run, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
     counts = materialise(counts.where(f"n >= {LEAST_SHARE * rows} AND n <= {max(1.0, MOST_SHARE * rows)}"), "lexicon")
-    least = LEAST_SHARE
-    band = counts
-    while band.count() > MAX_LEXICON:
-        least *= 2
-        band = counts.where(f"n >= {least * rows}")
-    found = [r["term"] for r in band.select("term").toLocalIterator()]
-    return np.sort(np.array(found, dtype=np.int64).view(np.uint64))
+    found = np.fromiter((r["term"] for r in counts.select("term").toLocalIterator()), np.int64)
+    return np.sort(found.view(np.uint64))
 
 
 def fingerprint_documents(

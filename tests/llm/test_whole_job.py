@@ -1,12 +1,13 @@
 """Cases in which an operator once did less than its whole job."""
 
 import re
+from collections import Counter
 
 import duckdb
 import pytest
 
 import corpus_pipeline
-from quillspark.llm import license_scan, mixing, sentencepiece_codec
+from quillspark.llm import fingerprints, license_scan, mixing, sentencepiece_codec
 from tests.conftest import rows
 from tests.llm.test_against_brute_force import edited_copies, lower
 
@@ -84,3 +85,12 @@ def test_op1_words_of_a_notice_in_any_order_are_no_notice():
     edited = " ".join([first, *between[:3], "indeed", *between[4:], second, *after[2:5], "indeed", *after[6:]])
     assert label in index.scan(license_scan.words_of(edited))[1]
     assert "all-rights-reserved" in index.scan(license_scan.words_of("Copyright 2020 by Some Company Inc. All rights reserved."))[1]
+
+
+def test_op8_lexicon_keeps_the_whole_band(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "MAX_LEXICON", 10, raising=False)
+    texts = [" ".join(f"w{i % k}x{k}" for k in range(2, 40)) for i in range(60)]
+    counts = Counter(w for t in texts for w in set(t.split()))
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    band = [w for w, n in counts.items() if fingerprints.LEAST_SHARE * 60 <= n <= fingerprints.MOST_SHARE * 60]
+    assert len(fingerprints.build_lexicon(docs)) == len(band) > 100
