@@ -36,7 +36,7 @@ def crc_mod(column: str, n: int) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a session without one (tests) gets a local default."""
+    """The folder named by spark.checkpoint.dir; a local session without one (tests) gets a folder of this machine."""
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -44,22 +44,29 @@ def shared_dir(spark: SparkSession) -> str:
     held = context._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get()
+    if not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     local = f"/tmp/checkpoints/{uuid.uuid4().hex}"
     context.setCheckpointDir(local)
     return local
 
 
-_written: list[tuple[SparkSession, str]] = []
+#: Folders written and not yet removed, with their sessions.
+_written: dict[str, SparkSession] = {}
+
+
+def _remove(path: str) -> None:
+    spark = _written.pop(path)
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def _remove_written() -> None:
-    for spark, path in _written:
+    for path in list(_written):
         try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-        except Exception:  # the session has ended; the cluster's retention clears the folder
-            return
+            _remove(path)
+        except Exception:  # that session has ended; the cluster's retention clears its folder
+            continue
 
 
 atexit.register(_remove_written)
@@ -69,13 +76,23 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Cut the lineage: write df once as Parquet in the shared checkpoint folder and read it back.
 
     Unlike cache() it survives the loss of any executor, unlike checkpoint() it computes
-    df once and is columnar, and its size is known to the optimiser.
+    df once and is columnar, and its size is known to the optimiser. A join back to a written aggregate has plain
+    exchanges on both sides, which adaptive execution can split where one key is hot; it can't split a
+    join with an aggregate of the same query.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quillspark/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    _written[path] = spark
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Remove tables that materialise wrote and nothing reads any more; the rest go when the driver ends."""
+    for table_ in tables:
+        _remove(table_._written_at)
 
 
 def small_batches(spark: SparkSession) -> None:

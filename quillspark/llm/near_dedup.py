@@ -6,8 +6,9 @@ import numpy as np
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from quillspark.llm.common import map_rows, materialise
+from quillspark.llm.common import map_rows, materialise, release
 from quillspark.llm.components import connected_components
 
 #: Similarity in percent and words in a shingle.
@@ -157,40 +158,38 @@ def near_duplicates(
 
     Null, empty or blank text: n_shingles 0, linked with nothing. A null id can't be linked: component_id
     null, kept. Rows that repeat an id are one node with the links of each. An empty table gives no rows. Other
-    columns are ignored. Nothing of a group is collected anywhere: classes and leaders are partial aggregates, and joins
-    back to them are equi joins that adaptive execution splits.
+    columns are ignored. Nothing of a group is collected anywhere: classes, leaders and counts are partial aggregates,
+    written out before rows join back to them, so that adaptive execution can split a hot key's join.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     digests = materialise(_digests(own, kind, shingle), "digests")
     whole = digests.where("n > 0 AND id IS NOT NULL")
-    classes = whole.groupBy("n", "d1", "d2").agg(F.min("id").alias("rep"))
-    members = materialise(
-        whole.join(classes, ["n", "d1", "d2"]).select(
-            "id", "n", "rep", F.when(F.col("id") == F.col("rep"), F.col("bands")).alias("bands")
-        ),
-        "classes",
+    equal = whole.groupBy("n", "d1", "d2").agg(F.min("id").alias("least_id"), F.count("*").alias("rows")).where("rows > 1")
+    equal = materialise(equal.drop("rows"), "classes")
+    members = whole.join(equal, ["n", "d1", "d2"], "left").withColumn("rep", F.coalesce("least_id", "id")).select(
+        "id", "n", "rep", F.when(F.col("id") == F.col("rep"), F.col("bands")).alias("bands")
     )
-    keys = materialise(_table_keys(members.where("bands IS NOT NULL")), "keys")
+    members = materialise(members, "members")
+    keys = _table_keys(members.where("bands IS NOT NULL"))
     # Members of groups of two or more; the leader is the smallest under one of a few keyed hashes.
     groups = keys.groupBy("key", "turn").agg(F.min("draw").alias("lead_draw"), F.count("*").alias("size")).where("size > 1")
-    grouped = materialise(keys.join(groups, ["key", "turn"]), "groups")
-    leaders = grouped.where("draw = lead_draw").groupBy("key").agg(F.min("id").alias("lead"))
+    groups = materialise(groups, "groups")
+    grouped = materialise(keys.join(groups, ["key", "turn"]), "grouped")
+    leaders = grouped.where("draw = lead_draw").groupBy("key").agg(
+        F.min("id").alias("lead"), F.min("n").alias("lead_least"), F.max("n").alias("lead_most")
+    )
+    leaders = materialise(leaders, "leaders")
     wanted = materialise(grouped.select("id").distinct(), "wanted")
     if wanted.count() <= BROADCAST_IDS:
         picked = own.join(F.broadcast(wanted), "id", "left_semi")
     else:
         picked = own.join(wanted, "id", "left_semi")
     sets = materialise(_sets(picked, kind, shingle), "sets")
-    sizes = members.where("bands IS NOT NULL").groupBy("id").agg(F.min("n").alias("least_n"), F.max("n").alias("most_n"))
-    led = grouped.join(leaders, "key").where("id <> lead").select(
-        F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")
-    ).distinct()
     led = (
-        led.join(sizes.select(F.col("id").alias("a"), F.col("least_n").alias("al"), F.col("most_n").alias("am")), "a")
-        .join(sizes.select(F.col("id").alias("b"), F.col("least_n").alias("bl"), F.col("most_n").alias("bm")), "b")
-        .where((100 * F.col("am") >= percent * F.col("bl")) & (100 * F.col("bm") >= percent * F.col("al")))
-        .select("a", "b")
+        grouped.join(leaders, "key").where("id <> lead")
+        .where((100 * F.col("lead_most") >= percent * F.col("n")) & (100 * F.col("n") >= percent * F.col("lead_least")))
+        .select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct()
     )
     links = materialise(_verified(led, sets, kind, percent), "leader-links")
     rest = _unsettled(grouped, leaders, links)
@@ -202,6 +201,7 @@ def near_duplicates(
         links = _between_many(large, bands, links, sets, kind, percent)
     same = members.where("id <> rep").select(F.col("id").alias("src"), F.col("rep").alias("dst"))
     components = connected_components(links.union(same).distinct())
+    release(equal, members, groups, grouped, leaders, wanted, sets, rest)
     return digests.join(components, digests["id"] == components["node"], "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"),
         (F.col("id").isNull() | F.col("component").isNull() | (F.col("id") == F.col("component"))).alias("kept"),
@@ -215,7 +215,7 @@ def _table_keys(classes: DataFrame) -> DataFrame:
     """
     bands = classes.select("id", "n", F.posexplode("bands").alias("slot", "band"))
     shared = bands.groupBy("slot", "band").agg(F.count("*").alias("holders")).where("holders > 1").drop("holders")
-    left = bands.join(shared, ["slot", "band"])
+    left = bands.join(materialise(shared, "shared"), ["slot", "band"])
     # At most 2 x BANDS rows for each class.
     held = left.groupBy("id", "n").agg(F.collect_list(F.struct("slot", "band")).alias("held"))
     pairs = held.select(
@@ -224,17 +224,17 @@ def _table_keys(classes: DataFrame) -> DataFrame:
         F.filter("held", lambda x: x["slot"] >= BANDS).alias("ys"),
     ).select("id", "n", "x", F.explode("ys").alias("y"))
     turn = F.pmod(F.col("x.slot"), F.lit(LEADERS))
-    return pairs.select(
+    return materialise(pairs.select(
         F.xxhash64("x.slot", "y.slot", "x.band", "y.band").alias("key"),
         F.xxhash64("x.slot", "x.band").alias("first_key"), F.col("x.slot").alias("i"), turn.cast("int").alias("turn"), "id", "n", F.xxhash64(turn, "id").alias("draw"),
-    ).distinct()
+    ).distinct(), "keys")
 
 
 def _unsettled(grouped: DataFrame, leaders: DataFrame, links: DataFrame) -> DataFrame:
     """(key, first_key, i, id, n, component, members) of the groups whose members, but for the leader, lie in several components."""
     found = materialise(connected_components(links), "first-components")
     placed = (
-        grouped.where("size > 2").join(leaders, "key").where("id <> lead")
+        grouped.where("size > 2").join(leaders.select("key", "lead"), "key").where("id <> lead")
         .join(found.withColumnRenamed("node", "id"), "id", "left")
         .select("key", "first_key", "i", "id", "n", F.coalesce("component", "id").alias("component"))
     )
@@ -242,7 +242,10 @@ def _unsettled(grouped: DataFrame, leaders: DataFrame, links: DataFrame) -> Data
     split = placed.groupBy("key").agg(
         F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members")
     ).where("lo <> hi").select("key", "members")
-    return materialise(placed.join(split, "key"), "unsettled")
+    split = materialise(split, "split")
+    rest = materialise(placed.join(split, "key"), "unsettled")
+    release(found, placed, split)
+    return rest
 
 
 def _between_few(small: DataFrame, sets: DataFrame, kind: str, percent: int) -> DataFrame:
@@ -262,7 +265,7 @@ def _between_many(large: DataFrame, bands: DataFrame, links: DataFrame, sets: Da
     """links with those between different components of each large group, without making all pairs of a group.
 
     A shingle is rare if at most RARE members of large groups have it; a member's core are its other shingles.
-    Two similar members either share a rare shingle, and are met in that shingle's short list, or have all that they share in
+    Two similar members either share a rare shingle, and are met in that shingle's short list (_sharing), or have all that they share in
     both cores: then 100 * least core >= percent * (sum of sizes - least core). That bound holds for hardly any
     pair but those close to what the group has in common, and most of these are linked through the member with the
     fewest rare shingles, which is verified first. What the bound still allows between components is verified; members
@@ -274,37 +277,33 @@ def _between_many(large: DataFrame, bands: DataFrame, links: DataFrame, sets: Da
     large = large.select(F.col("first_key").alias("key"), "i", "id", "n", "component").distinct()
     owners = large.select("id").distinct()
     tokens = materialise(_tokens(sets.join(owners, "id", "left_semi"), kind), "tokens")
-    holders = tokens.groupBy("token").agg(F.count("*").alias("holders")).where(F.col("holders") <= RARE)
-    rare = materialise(tokens.join(holders, "token"), "rare")
-    size_of = tokens.select("id", "n").distinct()
-    cores = size_of.join(rare.groupBy("id", "n").agg(F.count("*").alias("rare")), ["id", "n"], "left").groupBy("id").agg(
-        F.min("n").alias("n"), F.max(F.col("n") - F.coalesce("rare", F.lit(0))).alias("core")
-    )
-    cores = materialise(cores, "cores")
+    rare = _rare_tokens(tokens)
+    # An id that repeats with several sets keeps the largest size as its core, which rules nothing out.
+    counted = rare.groupBy("id").agg(F.count("*").alias("rare"))
+    cores = tokens.groupBy("id").agg(F.min("n").alias("n"), F.max("n").alias("most"), F.count("*").alias("all")).join(counted, "id", "left")
+    cores = materialise(cores.select(
+        "id", "n", F.when(F.col("all") > F.col("n"), F.col("most")).otherwise(F.col("n") - F.coalesce("rare", F.lit(0))).alias("core"),
+        (F.col("all") == F.col("n")).alias("single"),
+    ), "cores")
     placed = materialise(large.drop("n").join(cores, "id"), "large")
-    part = placed.select("id", "component").distinct()
-    listed = rare.where("holders > 1").select("token", "id").join(part, "id")
-    x, y = listed.alias("x"), listed.alias("y")
-    sharing = x.join(y, F.col("x.token") == F.col("y.token")).where("x.id < y.id AND x.component <> y.component").select(
-        F.col("x.id").alias("a"), F.col("y.id").alias("b")
-    )
+    part = materialise(placed.select("id", "n", "core", "single", "component").distinct(), "part")
+    sharing = _sharing(rare, part, percent)
     centres = placed.groupBy("key").agg(F.min_by("id", F.struct(F.col("n") - F.col("core"), "id")).alias("centre"))
     centres = centres.join(
-        part.select(F.col("id").alias("centre"), F.col("component").alias("cc")).join(
-            cores.select(F.col("id").alias("centre"), F.col("n").alias("cn"), F.col("core").alias("ck")), "centre"
-        ), "centre",
+        part.select(F.col("id").alias("centre"), F.col("component").alias("cc"), F.col("n").alias("cn"), F.col("core").alias("ck")), "centre"
     )
+    centres = materialise(centres, "centres")
     around = placed.join(centres, "key").where("component <> cc").where(_cores_suffice("n", "core", "cn", "ck", percent)).select(
         F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")
     )
     links = materialise(links.union(_verified(sharing.union(around).distinct(), sets, kind, percent)), "centre-links")
     found = connected_components(links).withColumnRenamed("node", "id").withColumnRenamed("component", "now")
-    close = placed.join(placed.groupBy("key").agg(F.min("n").alias("least_n")), "key").where(
-        _cores_suffice("n", "core", "least_n", "core", percent)
-    )
+    smallest = materialise(placed.groupBy("key").agg(F.min("n").alias("least_n")), "smallest")
+    close = placed.join(smallest, "key").where(_cores_suffice("n", "core", "least_n", "core", percent))
     close = close.join(found, "id", "left").withColumn("component", F.coalesce("now", "component")).drop("now", "least_n")
     close = materialise(close, "close")
     split = close.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
+    split = materialise(split, "split")
     open_rows = materialise(close.join(split, "key").join(bands, "id"), "open")
     x, y = open_rows.alias("x"), open_rows.alias("y")
     last = (
@@ -314,7 +313,45 @@ def _between_many(large: DataFrame, bands: DataFrame, links: DataFrame, sets: Da
         .where(_first_shared() == F.col("x.i"))
         .select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
     )
-    return materialise(links.union(_verified(last, sets, kind, percent)), "all-links")
+    out = materialise(links.union(_verified(last, sets, kind, percent)), "all-links")
+    release(tokens, rare, cores, placed, part, centres, smallest, close, split, open_rows)
+    return out
+
+
+def _rare_tokens(tokens: DataFrame) -> DataFrame:
+    """(id, token, holders) of the shingles (id, n, token) that at most RARE members have.
+
+    Most shingles have one or two holders, which a count's least and greatest id name; only the others are joined back.
+    """
+    held = tokens.groupBy("token").agg(F.count("*").alias("holders"), F.min("id").alias("lo"), F.max("id").alias("hi"))
+    held = materialise(held.where(F.col("holders") <= RARE), "held")
+    named = held.where("holders <= 2").select(F.explode(F.array_distinct(F.array("lo", "hi"))).alias("id"), "token", "holders")
+    joined = tokens.select("id", "token").join(held.where("holders > 2").select("token", "holders"), "token").select("id", "token", "holders").distinct()
+    rare = materialise(named.unionByName(joined), "rare")
+    release(held)
+    return rare
+
+
+def _sharing(rare: DataFrame, part: DataFrame, percent: int) -> DataFrame:
+    """(a, b): members of different components that share a rare shingle and may be similar.
+
+    Each member's shingles are in one order, fewest holders first. The first shingle that two sets share leaves
+    them no more in common than what follows it in each; if they are similar, that is still enough. So only a
+    member's shingles with a large enough rest can be the first shared one with a similar member, and a pair is made only where
+    the places of the shingle in both orders leave enough. Members with several sets under one id are left out of this reckoning.
+    """
+    in_order = Window.partitionBy("id").orderBy("holders", "token")
+    listed = (
+        rare.withColumn("place", F.row_number().over(in_order)).where("holders > 1").join(part.drop("core"), "id")
+        .withColumn("left", F.when(F.col("single"), F.col("n") - F.col("place") + 1))
+        .where(F.col("left").isNull() | (100 * F.col("left") >= percent * F.col("n")))
+        .select("token", "id", "n", "left", "component")
+    )
+    x, y = listed.alias("x"), listed.alias("y")
+    enough = (100 + percent) * F.least("x.left", "y.left") >= percent * (F.col("x.n") + F.col("y.n"))
+    return x.join(y, F.col("x.token") == F.col("y.token")).where("x.id < y.id AND x.component <> y.component").where(
+        F.col("x.left").isNull() | F.col("y.left").isNull() | enough
+    ).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
 
 
 def _first_shared():

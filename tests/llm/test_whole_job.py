@@ -1,5 +1,7 @@
 """Cases in which an operator once did less than its whole job."""
 
+import os
+import random
 import re
 from collections import Counter
 
@@ -7,9 +9,9 @@ import duckdb
 import pytest
 
 import corpus_pipeline
-from quillspark.llm import fingerprints, license_scan, mixing, sentencepiece_codec
+from quillspark.llm import common, components, fingerprints, license_scan, mixing, near_dedup, sentencepiece_codec
 from tests.conftest import rows
-from tests.llm.test_against_brute_force import edited_copies, lower
+from tests.llm.test_against_brute_force import components_of, edited_copies, lower, shingles
 
 
 def near_copies_dropped(texts, size=5, percent=80):
@@ -94,3 +96,70 @@ def test_op8_lexicon_keeps_the_whole_band(spark, monkeypatch):
     docs = spark.createDataFrame([(t,) for t in texts], "text string")
     band = [w for w, n in counts.items() if fingerprints.LEAST_SHARE * 60 <= n <= fingerprints.MOST_SHARE * 60]
     assert len(fingerprints.build_lexicon(docs)) == len(band) > 100
+
+
+def test_op7_recall_of_pairs_just_over_the_limit(spark):
+    """2,000 planted pairs at 0.85 to 0.90, each a group of its own: none is missed."""
+    draw, made, close = random.Random(8), [], 0
+    for i in range(2_000):
+        words = [f"{i}w{j}" for j in range(draw.randrange(80, 160))]
+        copy = list(words)
+        while True:
+            at = draw.randrange(len(copy))
+            edited = [*copy[:at], f"{i}e{len(made)}x{at}", *copy[at + 1 :]]
+            a, b = shingles(" ".join(words)), shingles(" ".join(edited))
+            if 100 * len(a & b) < 85 * len(a | b):
+                break
+            copy = edited
+        a, b = shingles(" ".join(words)), shingles(" ".join(copy))
+        close += 100 * len(a & b) <= 90 * len(a | b)
+        made += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(copy))]
+    assert close > 1_900
+    found = near_dedup.near_duplicates(spark.createDataFrame(made, "doc_id bigint, text string"))
+    assert found.where("component_id = doc_id - doc_id % 2").count() == 4_000
+
+
+def test_op7_repeated_ids_in_a_large_group(spark, monkeypatch):
+    """Several sets under one id take part with all of them."""
+    monkeypatch.setattr(near_dedup, "SMALL_GROUP", 4)
+    monkeypatch.setattr(near_dedup, "RARE", 3)
+    texts = edited_copies(50, 100, 12, 31)
+    made = [(i % 40, t) for i, t in enumerate(texts)]
+    sets = [(k, shingles(t)) for k, t in made]
+    truth = {k: k for k, _ in made}
+    for i, (k, a) in enumerate(sets):
+        for j, b in sets[:i]:
+            both = len(a & b)
+            if 100 * both >= 85 * (len(a) + len(b) - both):
+                lo, hi = sorted((truth[k], truth[j]))
+                truth = {x: lo if v == hi else v for x, v in truth.items()}
+    found = near_dedup.near_duplicates(spark.createDataFrame(made, "doc_id bigint, text string")).collect()
+    assert len(found) == 50 and {r["doc_id"]: r["component_id"] for r in found} == truth
+
+
+def test_written_tables_are_removed_once_used(spark):
+    before = set(common._written)
+    found = components.connected_components(spark.createDataFrame([(i, i + 1) for i in range(30)], "src bigint, dst bigint"))
+    left = set(common._written) - before
+    assert found.count() == 31 and len(left) == 2  # what the result is read from
+    assert all(os.path.isdir(p.removeprefix("file:")) for p in left)
+
+
+def test_join_back_to_a_written_aggregate_is_split(spark):
+    """Half of the rows have one key: adaptive execution splits its join once the aggregate is written out."""
+    small = {
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k",
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "16",
+    }
+    held = {k: spark.conf.get(k, None) for k in small}
+    try:
+        for k, v in small.items():
+            spark.conf.set(k, v)
+        made = common.materialise(spark.range(200_000).selectExpr("if(id % 2 = 0, 0, id) AS k", "id"), "rows")
+        joined = made.join(common.materialise(made.groupBy("k").count(), "counts"), "k")
+        joined.write.format("noop").mode("overwrite").save()
+        joined.collect()
+        assert "skew=true" in joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in held.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
