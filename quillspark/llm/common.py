@@ -76,9 +76,7 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Cut the lineage: write df once as Parquet in the shared checkpoint folder and read it back.
 
     Unlike cache() it survives the loss of any executor, unlike checkpoint() it computes
-    df once and is columnar, and its size is known to the optimiser. A join back to a written aggregate has plain
-    exchanges on both sides, which adaptive execution can split where one key is hot; it can't split a
-    join with an aggregate of the same query.
+    df once and is columnar, and its size is known to the optimiser.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quillspark/{tag}-{uuid.uuid4().hex}"
@@ -89,10 +87,24 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
+#: Rows of a hot key that one task may take.
+TASK_ROWS = 1_000_000
+
+
+def aggregated(df: DataFrame, tag: str, rows: int) -> DataFrame:
+    """df, an aggregate that at most so many rows of any one key join back to.
+
+    Written out if these are more than a task should take: the join then has plain exchanges on both sides, which adaptive
+    execution can split where a key is hot; it can't split a join with an aggregate of the same query.
+    """
+    return materialise(df, tag) if rows > TASK_ROWS else df
+
+
 def release(*tables: DataFrame) -> None:
-    """Remove tables that materialise wrote and nothing reads any more; the rest go when the driver ends."""
-    for table_ in tables:
-        _remove(table_._written_at)
+    """Remove those that materialise wrote, as nothing reads them any more; the rest go when the driver ends."""
+    for made in tables:
+        if "_written_at" in vars(made):
+            _remove(made._written_at)
 
 
 def small_batches(spark: SparkSession) -> None:

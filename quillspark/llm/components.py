@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import materialise, release
+from quillspark.llm.common import aggregated, materialise, release
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -14,7 +14,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     Each round hooks neighbours to the smallest member of their closed neighbourhood: first the larger
     neighbours (large-star), then the smaller ones (small-star), so the rounds grow with the logarithm of
     the longest chain. The minimum is a partial aggregate, written out before the join back to it, so that adaptive
-    execution can split that join when one hub holds most edges. Tables of earlier rounds are removed.
+    execution can split that join when one hub holds millions of edges. Tables of earlier rounds are removed.
     Null ends and self-loops carry no link; repeated edges count once; an empty input gives no rows.
     """
     links = (
@@ -24,10 +24,13 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     )
     links = materialise(links, "links")
     nodes = materialise(links.select(F.explode(F.array("hi", "lo")).alias("node")).distinct(), "nodes")
-    before = None
+    before, edges_now = None, links.count()
     for _ in range(max_rounds):
-        star = _replaced(links, *_large_star(links))
-        links = _replaced(star, *_small_star(star))
+        hooked, smallest = _large_star(links, edges_now)
+        star = aggregated(hooked, "star", edges_now)
+        hooked, again = _small_star(star, edges_now)
+        links, old = materialise(hooked, "star"), links
+        release(old, star, smallest, again)
         # A forest of stars is reached when neither operation changes the edge set.
         now = links.agg(
             F.count("*").alias("n"),
@@ -35,7 +38,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         ).first()
         if now == before:
             break
-        before = now
+        before, edges_now = now, now["n"]
     else:
         raise RuntimeError("connected components did not converge")
     return nodes.join(links.withColumnRenamed("hi", "node"), "node", "left").select(
@@ -43,23 +46,16 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     )
 
 
-def _replaced(links: DataFrame, hooked: DataFrame, least: DataFrame) -> DataFrame:
-    """The new edges, written; the tables that they were made from go."""
-    made = materialise(hooked, "star")
-    release(least, links)
-    return made
-
-
-def _large_star(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _large_star(links: DataFrame, rows: int) -> tuple[DataFrame, DataFrame]:
     """Edges from every larger neighbour of a node to the smallest of the node and its neighbours, and these smallest."""
-    both = links.select(F.explode(F.array(F.struct(F.col("hi").alias("u"), F.col("lo").alias("v")), F.struct(F.col("lo").alias("u"), F.col("hi").alias("v")))).alias("e")).select("e.u", "e.v")
-    least = materialise(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
-    # Only nodes with a larger neighbour hook anything.
+    either = F.array(F.struct(F.col("hi").alias("u"), F.col("lo").alias("v")), F.struct(F.col("lo").alias("u"), F.col("hi").alias("v")))
+    both = links.select(F.explode(either).alias("e")).select("e.u", "e.v")
+    least = aggregated(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least", rows)
     return both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct(), least
 
 
-def _small_star(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _small_star(links: DataFrame, rows: int) -> tuple[DataFrame, DataFrame]:
     """Edges from a node and its smaller neighbours to the smallest of them, and these smallest."""
-    least = materialise(links.groupBy("hi").agg(F.min("lo").alias("m")), "least")
+    least = aggregated(links.groupBy("hi").agg(F.min("lo").alias("m")), "least", rows)
     hooked = links.join(least, "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
     return hooked.union(least.select("hi", F.col("m").alias("lo"))).where("hi <> lo").distinct(), least

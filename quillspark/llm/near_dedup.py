@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillspark.llm.common import map_rows, materialise, release
+from quillspark.llm.common import aggregated, map_rows, materialise, release
 from quillspark.llm.components import connected_components
 
 #: Similarity in percent and words in a shingle.
@@ -159,27 +159,28 @@ def near_duplicates(
     Null, empty or blank text: n_shingles 0, linked with nothing. A null id can't be linked: component_id
     null, kept. Rows that repeat an id are one node with the links of each. An empty table gives no rows. Other
     columns are ignored. Nothing of a group is collected anywhere: classes, leaders and counts are partial aggregates,
-    written out before rows join back to them, so that adaptive execution can split a hot key's join.
+    written out before rows join back to them if there are many, so that adaptive execution can split a hot key's join.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     digests = materialise(_digests(own, kind, shingle), "digests")
+    rows = digests.count()  # a key of any join below is held at most once by each
     whole = digests.where("n > 0 AND id IS NOT NULL")
-    equal = whole.groupBy("n", "d1", "d2").agg(F.min("id").alias("least_id"), F.count("*").alias("rows")).where("rows > 1")
-    equal = materialise(equal.drop("rows"), "classes")
+    equal = whole.groupBy("n", "d1", "d2").agg(F.min("id").alias("least_id"), F.count("*").alias("times")).where("times > 1")
+    equal = aggregated(equal.drop("times"), "classes", rows)
     members = whole.join(equal, ["n", "d1", "d2"], "left").withColumn("rep", F.coalesce("least_id", "id")).select(
         "id", "n", "rep", F.when(F.col("id") == F.col("rep"), F.col("bands")).alias("bands")
     )
     members = materialise(members, "members")
-    keys = _table_keys(members.where("bands IS NOT NULL"))
+    keys = _table_keys(members.where("bands IS NOT NULL"), rows)
     # Members of groups of two or more; the leader is the smallest under one of a few keyed hashes.
     groups = keys.groupBy("key", "turn").agg(F.min("draw").alias("lead_draw"), F.count("*").alias("size")).where("size > 1")
-    groups = materialise(groups, "groups")
+    groups = aggregated(groups, "groups", rows)
     grouped = materialise(keys.join(groups, ["key", "turn"]), "grouped")
     leaders = grouped.where("draw = lead_draw").groupBy("key").agg(
         F.min("id").alias("lead"), F.min("n").alias("lead_least"), F.max("n").alias("lead_most")
     )
-    leaders = materialise(leaders, "leaders")
+    leaders = aggregated(leaders, "leaders", rows)
     wanted = materialise(grouped.select("id").distinct(), "wanted")
     if wanted.count() <= BROADCAST_IDS:
         picked = own.join(F.broadcast(wanted), "id", "left_semi")
@@ -192,13 +193,13 @@ def near_duplicates(
         .select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct()
     )
     links = materialise(_verified(led, sets, kind, percent), "leader-links")
-    rest = _unsettled(grouped, leaders, links)
+    rest = _unsettled(grouped, leaders, links, rows)
     small = _between_few(rest.where(F.col("members") <= SMALL_GROUP), sets, kind, percent)
     links = materialise(links.union(small), "more-links")
     large = rest.where(F.col("members") > SMALL_GROUP)
     if not large.isEmpty():
         bands = members.where("bands IS NOT NULL").select("id", "bands")
-        links = _between_many(large, bands, links, sets, kind, percent)
+        links = _between_many(large, bands, links, sets, kind, percent, rows)
     same = members.where("id <> rep").select(F.col("id").alias("src"), F.col("rep").alias("dst"))
     components = connected_components(links.union(same).distinct())
     release(equal, members, groups, grouped, leaders, wanted, sets, rest)
@@ -208,14 +209,14 @@ def near_duplicates(
     )
 
 
-def _table_keys(classes: DataFrame) -> DataFrame:
+def _table_keys(classes: DataFrame, rows: int) -> DataFrame:
     """(key, first_key, i, turn, id, n, draw): tensored table keys of (id, n, bands), without those no other class can share.
 
     first_key is that of the band of the first collection alone, and i its place. draw orders a group for the choice of its leader, differently for each turn.
     """
     bands = classes.select("id", "n", F.posexplode("bands").alias("slot", "band"))
     shared = bands.groupBy("slot", "band").agg(F.count("*").alias("holders")).where("holders > 1").drop("holders")
-    left = bands.join(materialise(shared, "shared"), ["slot", "band"])
+    left = bands.join(aggregated(shared, "shared", rows), ["slot", "band"])
     # At most 2 x BANDS rows for each class.
     held = left.groupBy("id", "n").agg(F.collect_list(F.struct("slot", "band")).alias("held"))
     pairs = held.select(
@@ -230,7 +231,7 @@ def _table_keys(classes: DataFrame) -> DataFrame:
     ).distinct(), "keys")
 
 
-def _unsettled(grouped: DataFrame, leaders: DataFrame, links: DataFrame) -> DataFrame:
+def _unsettled(grouped: DataFrame, leaders: DataFrame, links: DataFrame, rows: int) -> DataFrame:
     """(key, first_key, i, id, n, component, members) of the groups whose members, but for the leader, lie in several components."""
     found = materialise(connected_components(links), "first-components")
     placed = (
@@ -242,7 +243,7 @@ def _unsettled(grouped: DataFrame, leaders: DataFrame, links: DataFrame) -> Data
     split = placed.groupBy("key").agg(
         F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members")
     ).where("lo <> hi").select("key", "members")
-    split = materialise(split, "split")
+    split = aggregated(split, "split", rows)
     rest = materialise(placed.join(split, "key"), "unsettled")
     release(found, placed, split)
     return rest
@@ -261,7 +262,9 @@ def _between_few(small: DataFrame, sets: DataFrame, kind: str, percent: int) ->
     return _verified(direct, sets, kind, percent)
 
 
-def _between_many(large: DataFrame, bands: DataFrame, links: DataFrame, sets: DataFrame, kind: str, percent: int) -> DataFrame:
+def _between_many(
+    large: DataFrame, bands: DataFrame, links: DataFrame, sets: DataFrame, kind: str, percent: int, rows: int
+) -> DataFrame:
     """links with those between different components of each large group, without making all pairs of a group.
 
     A shingle is rare if at most RARE members of large groups have it; a member's core are its other shingles.
@@ -286,24 +289,24 @@ def _between_many(large: DataFrame, bands: DataFrame, links: DataFrame, sets: Da
         (F.col("all") == F.col("n")).alias("single"),
     ), "cores")
     placed = materialise(large.drop("n").join(cores, "id"), "large")
-    part = materialise(placed.select("id", "n", "core", "single", "component").distinct(), "part")
+    part = placed.select("id", "n", "core", "single", "component").distinct()
     sharing = _sharing(rare, part, percent)
     centres = placed.groupBy("key").agg(F.min_by("id", F.struct(F.col("n") - F.col("core"), "id")).alias("centre"))
     centres = centres.join(
         part.select(F.col("id").alias("centre"), F.col("component").alias("cc"), F.col("n").alias("cn"), F.col("core").alias("ck")), "centre"
     )
-    centres = materialise(centres, "centres")
+    centres = aggregated(centres, "centres", rows)
     around = placed.join(centres, "key").where("component <> cc").where(_cores_suffice("n", "core", "cn", "ck", percent)).select(
         F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")
     )
     links = materialise(links.union(_verified(sharing.union(around).distinct(), sets, kind, percent)), "centre-links")
     found = connected_components(links).withColumnRenamed("node", "id").withColumnRenamed("component", "now")
-    smallest = materialise(placed.groupBy("key").agg(F.min("n").alias("least_n")), "smallest")
+    smallest = aggregated(placed.groupBy("key").agg(F.min("n").alias("least_n")), "smallest", rows)
     close = placed.join(smallest, "key").where(_cores_suffice("n", "core", "least_n", "core", percent))
     close = close.join(found, "id", "left").withColumn("component", F.coalesce("now", "component")).drop("now", "least_n")
     close = materialise(close, "close")
     split = close.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    split = materialise(split, "split")
+    split = aggregated(split, "split", rows)
     open_rows = materialise(close.join(split, "key").join(bands, "id"), "open")
     x, y = open_rows.alias("x"), open_rows.alias("y")
     last = (
@@ -314,7 +317,7 @@ def _between_many(large: DataFrame, bands: DataFrame, links: DataFrame, sets: Da
         .select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
     )
     out = materialise(links.union(_verified(last, sets, kind, percent)), "all-links")
-    release(tokens, rare, cores, placed, part, centres, smallest, close, split, open_rows)
+    release(tokens, rare, cores, placed, centres, smallest, close, split, open_rows)
     return out
 
 

@@ -137,7 +137,9 @@ def test_op7_repeated_ids_in_a_large_group(spark, monkeypatch):
     assert len(found) == 50 and {r["doc_id"]: r["component_id"] for r in found} == truth
 
 
-def test_written_tables_are_removed_once_used(spark):
+@pytest.mark.parametrize("most", [common.TASK_ROWS, 0])
+def test_written_tables_are_removed_once_used(spark, monkeypatch, most):
+    monkeypatch.setattr(common, "TASK_ROWS", most)
     before = set(common._written)
     found = components.connected_components(spark.createDataFrame([(i, i + 1) for i in range(30)], "src bigint, dst bigint"))
     left = set(common._written) - before
