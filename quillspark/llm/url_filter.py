@@ -23,6 +23,7 @@ CANONICAL_TAG = r"""(?i)<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>"""
 HREF = r"""(?i)\bhref\s*=\s*["']?([^"'>\s]+)"""
 REFRESH_TAG = r"""(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>"""
 REFRESH_URL = r"""(?i)\burl\s*=\s*["']?([^"'>\s]+)"""
+ABSOLUTE, SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*://", r"^[A-Za-z][A-Za-z0-9+.-]*:"
 TRACKING = r"(^|&)(utm_[^&=]*|ref)(=[^&]*)?"
 
 
@@ -59,14 +60,20 @@ def alias_key(rest: Column, host: Column, path: Column) -> Column:
 
 
 def resolved(target: str, scheme: str, host: str, path: str) -> Column:
-    """An absolute url for the target of a link on a page, from column names; null without a target."""
-    t = F.col(target)
+    """An absolute url for the target of a link on a page, from column names; null without a target that is a page.
+
+    Only a target that begins with a scheme and "://" is absolute: "/login?next=http://..." is a path. A target with another
+    scheme, such as mailto:, or a fragment alone leads nowhere. Ampersands may be written as entities.
+    """
+    t = F.regexp_replace(F.col(target), "&(amp|#38|#x26);", "&")
     origin = F.concat(F.col(scheme), F.lit("://"), F.col(host))
     return (
-        F.when(t == "", None)
-        .when(F.locate("://", t) > 0, t)
+        F.when((t == "") | t.startswith("#"), None)
+        .when(t.rlike(ABSOLUTE), t)
+        .when(t.rlike(SCHEME), None)
         .when(t.startswith("//"), F.concat(F.col(scheme), F.lit(":"), t))
         .when(t.startswith("/"), F.concat(origin, t))
+        .when(t.startswith("?"), F.concat(origin, F.col(path), t))
         .otherwise(F.concat(origin, F.regexp_replace(F.col(path), "[^/]*$", ""), t))
     )
 
@@ -76,19 +83,20 @@ def filter_urls(
 ) -> DataFrame:
     """(id, host, path, rule, verdict), a row per input row.
 
-    Pages are aliases when usual redirects (scheme, www., fragment, tracking parameters, final slash) give
-    them one key, or a canonical link or refresh redirect leads from one to the other, over any number of
+    A graph has urls and normal forms as nodes and three kinds of edges: a server's usual redirects (scheme, www., fragment,
+    tracking parameters, final slash) lead from a url to its normal form; canonical links and refresh redirects lead from
+    a page to the form of their target. Pages in one connected component are aliases, over any number of
     steps. A page with a rule keeps that rule's verdict. Other pages take their aliases': allow if any
     alias is explicitly allowed, else block if any is blocked, else allow.
 
-    The graph has one node for each distinct key with a link, never a page per copy; verdicts are joined
-    back by key as two flags. Null or malformed url: empty host and path, no rule, no alias, allow. Null
-    html: no links. Repeated rows get equal verdicts. An empty table gives no rows.
+    The graph has a node for each distinct url, never a page per copy, and leaves out urls that are alone with their form and have
+    no link: they have no alias. Verdicts are joined back by url as two flags. Null or malformed url: empty host and path, no
+    rule, no alias, allow. Null html: no links. Repeated rows get equal verdicts. An empty table gives no rows.
     """
     html = F.coalesce(F.col(html_col), F.lit(""))
     # Each step's columns are used several times in the next one, so that none is computed twice.
     judged = pages.select(
-        F.col(id_col).alias("id"), after_scheme(F.col(url_col)).alias("rest"),
+        F.col(id_col).alias("id"), F.col(url_col).alias("url"), after_scheme(F.col(url_col)).alias("rest"),
         F.regexp_extract(F.col(url_col), "^(.*?)://", 1).alias("scheme"),
         F.regexp_extract(F.regexp_extract(html, CANONICAL_TAG, 0), HREF, 1).alias("to1"),
         F.regexp_extract(F.regexp_extract(html, REFRESH_TAG, 0), REFRESH_URL, 1).alias("to2"),
@@ -99,40 +107,44 @@ def filter_urls(
     judged = judged.withColumns({f"host{i}": host_of(F.col(f"rest{i}")) for i in (1, 2)})
     link = lambda i: alias_key(F.col(f"rest{i}"), F.col(f"host{i}"), path_of(F.col(f"rest{i}")))
     judged = judged.select(
-        "id", "host", "path", alias_key(F.col("rest"), F.col("host"), F.col("path")).alias("key"),
+        "id", "host", "path", "url", alias_key(F.col("rest"), F.col("host"), F.col("path")).alias("form"),
         link(1).alias("canonical"), link(2).alias("refresh"),
         matched_rule(F.col("host"), F.col("path"), rules).alias("own"),
     )
     judged = materialise(judged, "urls")
-    edges = judged.select(
-        F.col("key").alias("src"), F.explode(F.array_distinct(F.array("canonical", "refresh"))).alias("dst")
-    ).where("src <> dst")
-    linked = materialise(connected_components(edges), "aliases")
+    linked = materialise(connected_components(alias_edges(judged)), "aliases")
     explicit = (
-        judged.where("key IS NOT NULL AND own IS NOT NULL")
-        .groupBy("key")
+        judged.where("form IS NOT NULL AND own IS NOT NULL")
+        .groupBy("url")
         .agg(F.max(F.col("own.verdict") == "allow").alias("allowed"), F.max(F.col("own.verdict") == "block").alias("blocked"))
-        .join(linked.withColumnRenamed("node", "key"), "key", "left")
-        .groupBy(F.coalesce("component", "key").alias("component"))
+        .join(linked.withColumnRenamed("node", "url"), "url")
+        .groupBy("component")
         .agg(F.max("allowed").alias("allowed"), F.max("blocked").alias("blocked"))
     )
-    open_keys = (
-        judged.where("key IS NOT NULL AND own IS NULL")
-        .select("key")
-        .distinct()
-        .join(linked.withColumnRenamed("node", "key"), "key", "left")
-        .select("key", F.coalesce("component", "key").alias("component"))
-        .join(explicit, "component")
-        .where("blocked AND NOT allowed")
-        .select(F.col("key").alias("blocked_key"))
-    )
-    open_keys = materialise(open_keys, "blocked")
-    return judged.join(open_keys, (F.col("key") == F.col("blocked_key")) & F.col("own").isNull(), "left").select(
+    blocked = linked.join(explicit.where("blocked AND NOT allowed"), "component").select(F.col("node").alias("blocked_url"))
+    blocked = materialise(blocked, "blocked")
+    return judged.join(blocked, (F.col("url") == F.col("blocked_url")) & F.col("own").isNull(), "left").select(
         F.col("id").alias(id_col), "host", "path", F.col("own.rule").alias("rule"),
-        F.coalesce("own.verdict", F.when(F.col("blocked_key").isNotNull(), "block"), F.lit("allow")).alias("verdict"),
+        F.coalesce("own.verdict", F.when(F.col("blocked_url").isNotNull(), "block"), F.lit("allow")).alias("verdict"),
     )
 
 
+def alias_edges(judged: DataFrame) -> DataFrame:
+    """(src, dst) from pages (url, form, canonical, refresh): from forms to the forms of their links, and from urls to their forms.
+
+    Urls have "://" and forms don't begin with a scheme, so the two kinds of nodes are marked apart by their first character.
+    """
+    targets = F.array_distinct(F.array("canonical", "refresh"))
+    links = judged.select("form", F.explode(targets).alias("to")).where("form <> to").distinct()
+    forms = judged.where("form IS NOT NULL").select("url", "form").distinct()
+    # A url alone with its form can only have an alias if a link starts or ends at the form.
+    met = forms.select("form").unionAll(links.select("form")).unionAll(links.select("to"))
+    met = materialise(met.groupBy("form").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "met")
+    node = lambda c: F.concat(F.lit("="), c)
+    redirects = forms.join(met, "form").select(F.col("url").alias("src"), node("form").alias("dst"))
+    return redirects.unionAll(links.select(node("form").alias("src"), node("to").alias("dst")))
+
+
 #: DuckDB SQL for op3's rows.
 SQL = r"""
 WITH RECURSIVE a AS (
@@ -148,9 +160,11 @@ WITH RECURSIVE a AS (
 ), links AS (
   SELECT rid, 0 AS kind, url AS target FROM h
   UNION ALL
-  SELECT rid, kind, CASE WHEN x = '' THEN NULL WHEN instr(x, '://') > 0 THEN x WHEN starts_with(x, '//') THEN scheme || ':' || x
-    WHEN starts_with(x, '/') THEN scheme || '://' || host || x ELSE scheme || '://' || host || regexp_replace(path, '[^/]*$', '') || x END
-  FROM (SELECT *, 1 AS kind, canonical AS x FROM h UNION ALL SELECT *, 2, refresh FROM h)
+  SELECT rid, kind, CASE WHEN x = '' OR starts_with(x, '#') THEN NULL WHEN regexp_matches(x, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN x
+    WHEN regexp_matches(x, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL WHEN starts_with(x, '//') THEN scheme || ':' || x
+    WHEN starts_with(x, '/') THEN scheme || '://' || host || x WHEN starts_with(x, '?') THEN scheme || '://' || host || path || x ELSE scheme || '://' || host || regexp_replace(path, '[^/]*$', '') || x END
+  FROM (SELECT * REPLACE (regexp_replace(x, '&(amp|#38|#x26);', '&', 'g') AS x)
+    FROM (SELECT *, 1 AS kind, canonical AS x FROM h UNION ALL SELECT *, 2, refresh FROM h))
 ), lr AS (
   SELECT rid, kind, CASE WHEN instr(target, '://') > 0 THEN substr(target, instr(target, '://') + 3) ELSE '' END AS rest FROM links WHERE target IS NOT NULL
 ), lk AS (
