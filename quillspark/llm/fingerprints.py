@@ -9,6 +9,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quillspark.llm.common import SLICE_ROWS, give_back, map_rows, materialise, small_batches
 
@@ -154,12 +155,14 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """(id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next), a row per input row.
 
     One exchange brings the texts into the order of ids, cut into ranges; each range is read once as a stream that holds
-    two documents. The last document of a range meets the first of the next one in a second step over
-    those two documents of each range. Ids repeat: ordered by text too; null ids come first. Null text
-    counts as empty. A single row is followed by itself. An empty table gives no rows.
+    two documents. The last document of a range meets the first of the next range that has any in a join of those two documents
+    of each range. Ids may repeat: rows are then ordered by a hash of the text and by place, so a range may begin amid
+    the rows of one id; null ids come first. Null text counts as empty. A single row is followed by itself. An empty table
+    gives no rows.
     """
     spark = docs.sparkSession
     own = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
+    placed = own.withColumns({"hash": F.xxhash64("text"), "place": F.monotonically_increasing_id()})
     shared = spark.sparkContext.broadcast(build_lexicon(own))
     kind = docs.schema[id_col].dataType.simpleString()
     ranges = min(MAX_RANGES, max(int(spark.conf.get("spark.sql.shuffle.partitions")), own.select("id").count() // 20_000))
@@ -204,31 +207,26 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         del match
         give_back()
 
-    def edges(batches):
-        match, first, held = IMatch(shared.value), None, None
-        for batch in batches:
-            rows = []
-            for key, mark, text, _, edge in zip(*(c.to_pylist() for c in batch.columns)):
-                row = (key, text, mark)
-                if edge == 1:
-                    if held is not None:
-                        rows.append(judged(match, held, row))
-                    first = first or row
-                else:
-                    held = row
-            if rows:
-                yield pa.RecordBatch.from_pylist([dict(zip(columns, r)) for r in rows], schema=plain)
-        if held is not None:
-            yield pa.RecordBatch.from_pylist([dict(zip(columns, judged(match, held, first)))], schema=plain)
+    def meet():
+        match = IMatch(shared.value)
+
+        def step(rows):
+            for key, text, mark, next_text, next_mark in rows:
+                yield judged(match, (key, text, mark), (None, next_text, next_mark))
+
+        return step
 
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
-    plain = to_arrow_schema(_parse_datatype_string(schema))
     target = to_arrow_schema(_parse_datatype_string(schema + ", text string, part int, edge int"))
-    lines = own.repartitionByRange(ranges, "id").sortWithinPartitions("id", "text")
+    lines = placed.repartitionByRange(ranges, "id", "hash", "place").sortWithinPartitions("id", "hash", "place").select("id", "text")
     done = materialise(lines.mapInArrow(ordered, schema + ", text string, part int, edge int"), "ordered")
-    # Two documents for each range.
-    seams = done.where("edge > 0").select("id", "fingerprint", "text", "part", "edge")
-    seams = seams.repartition(1).sortWithinPartitions("part", "edge").mapInArrow(edges, schema)
-    return done.where("edge = 0").select(*columns).unionByName(seams).withColumnRenamed("id", id_col)
+    # Two documents for each range; the ranges that have any are numbered, at most MAX_RANGES numbers.
+    ends = done.where("edge > 0").select("id", "fingerprint", "text", "part", "edge")
+    numbers = ends.where("edge = 1").select("part").withColumn("n", F.row_number().over(Window.orderBy("part")))
+    numbers = numbers.withColumn("next", F.col("n") % F.count("*").over(Window.partitionBy()) + 1)
+    numbered = ends.join(F.broadcast(numbers), "part")
+    first = numbered.where("edge = 1").select(F.col("n").alias("next"), F.col("text").alias("next_text"), F.col("fingerprint").alias("next_mark"))
+    seams = numbered.where("edge = 2").join(first, "next").select("id", "text", "fingerprint", "next_text", "next_mark")
+    return done.where("edge = 0").select(*columns).unionByName(map_rows(seams, schema, meet)).withColumnRenamed("id", id_col)
