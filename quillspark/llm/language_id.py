@@ -82,22 +82,27 @@ def train_languages(
     docs: DataFrame, sample_per_language: int = SAMPLE_PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text",
     lang_col: str = "lang", folds: int = 3, held_out: int = 1, dimensions: int = DIMENSIONS,
 ) -> tuple[list[str], np.ndarray]:
-    """Prototypes, one unit vector per language, from a hash sample with about sample_per_language documents each.
+    """Prototypes, one unit vector per language, from a hash sample with about sample_per_language distinct texts each.
 
-    Only rows outside the held-out fold with a language and a text count. A document adds its bundle at unit length.
+    Only rows outside the held-out fold with a language and a text count. A text that repeats counts once, so a sample is bounded
+    whatever repeats, ids or rows. A document adds its bundle at unit length. An empty table teaches no language.
     """
     usable = docs.where(
         F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (crc_mod(id_col, folds) != held_out)
-    ).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    rows = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not rows:
+    ).select(
+        F.col(text_col).alias("text"), F.col(lang_col).alias("lang"),
+        F.xxhash64(F.lit("languages"), F.col(text_col)).alias("hash"),
+    )
+    texts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.approx_count_distinct("hash").alias("n")).collect()}
+    if not texts:
         return [], np.empty((0, dimensions))
-    # The hash is compared with a limit for each language, so that rare languages are taken whole.
-    place = F.pmod(F.xxhash64(F.lit("languages"), "id"), F.lit(1_000_000))
+    # The hash, as a number below 2^62, is compared with a limit for each language, so that rare languages are taken whole.
     limits = docs.sparkSession.createDataFrame(
-        [(lang, int(min(1_000_000, 1_000_000 * sample_per_language // n))) for lang, n in rows.items()], "lang string, share long"
+        [(lang, 2**62 * sample_per_language // max(n, sample_per_language)) for lang, n in texts.items()], "lang string, share long"
     )
-    sample = usable.join(F.broadcast(limits), "lang").where(place < F.col("share"))  # one row per language
+    # One row per language.
+    sample = usable.join(F.broadcast(limits), "lang").where(F.col("hash").bitwiseAND(2**62 - 1) < F.col("share"))
+    sample = sample.groupBy("lang", "hash").agg(F.first("text").alias("text"))
 
     def start():
         space = Hyperspace(dimensions)
