@@ -170,7 +170,8 @@ def train_quality(
 ) -> AdditiveModel:
     """Fit on at most sample_rows labelled rows outside the held-out fold, chosen by a keyed hash of the id.
 
-    Null labels and null ids are no labelled rows; of an id's repeated labels the largest counts.
+    Null labels and null ids are no labelled rows; of an id's repeated labels the largest counts, of its repeated rows the one with
+    the smallest features, so that at most sample_rows rows reach the driver. Without labelled rows the score is a constant.
     """
     picked = (
         labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & (crc_mod(id_col, folds) != held_out))
@@ -181,8 +182,8 @@ def train_quality(
     )
     # At most sample_rows rows of two numbers.
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "id")
-    found = _features_of(rows, "id", "text", "label").select("id", "label", "features").collect()
-    found.sort(key=lambda r: (r["id"], r["features"]))
+    found = _features_of(rows, "id", "text", "label").groupBy("id", "label").agg(F.min("features").alias("features")).collect()
+    found.sort(key=lambda r: r["id"])
     x = np.array([r["features"] for r in found], dtype=float).reshape(len(found), len(FEATURES))
     return fit_additive(x, np.array([r["label"] for r in found], dtype=float))
 
