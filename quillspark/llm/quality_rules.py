@@ -123,15 +123,14 @@ def adaptive_thresholds(rows: DataFrame, lang: str = "lang", source: str = "sour
     language = _quantiles(cells, ["lang"])
     whole = _quantiles(cells, [])
     q = lambda t: F.struct(f"{t}.rows", f"{t}.q10", f"{t}.q50", f"{t}.q90")
-    ratio_names = rows.sparkSession.createDataFrame([(r,) for r, _, _ in RATIOS], "ratio string")
+    names = F.array(*(F.lit(r) for r, _, _ in RATIOS))
     picked = (
-        groups.alias("k")
-        .crossJoin(F.broadcast(ratio_names).alias("r"))  # the four names of the ratios
-        .join(own.alias("o"), F.col("k.lang").eqNullSafe(F.col("o.lang")) & F.col("k.source").eqNullSafe(F.col("o.source")) & (F.col("r.ratio") == F.col("o.ratio")), "left")
-        .join(language.alias("l"), F.col("k.lang").eqNullSafe(F.col("l.lang")) & (F.col("r.ratio") == F.col("l.ratio")), "left")
-        .join(whole.alias("w"), F.col("r.ratio") == F.col("w.ratio"), "left")
+        groups.withColumn("ratio", F.explode(names)).alias("k")
+        .join(own.alias("o"), F.col("k.lang").eqNullSafe(F.col("o.lang")) & F.col("k.source").eqNullSafe(F.col("o.source")) & (F.col("k.ratio") == F.col("o.ratio")), "left")
+        .join(language.alias("l"), F.col("k.lang").eqNullSafe(F.col("l.lang")) & (F.col("k.ratio") == F.col("l.ratio")), "left")
+        .join(whole.alias("w"), F.col("k.ratio") == F.col("w.ratio"), "left")
         .select(
-            "k.lang", "k.source", "r.ratio",
+            "k.lang", "k.source", "k.ratio",
             F.when(F.col("o.rows") >= min_group, q("o")).when(F.col("l.rows") >= min_group, q("l")).otherwise(q("w")).alias("q"),
         )
         .select("lang", "source", "ratio", "q.q10", "q.q50", "q.q90")
