@@ -14,45 +14,52 @@ SHINGLE, PERCENT = 5, 80
 
 
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier, fitted on the labelled ones, predicts as 1."""
+    """Documents that the quality classifier, fitted on the labelled ones, predicts as 1.
+
+    Judged by text alone: null texts like empty ones, rows that repeat alike, null ids like others; an empty table stays empty.
+    """
     model = quality_model.train_quality(docs, table(spark, sf_dir, "labels"))
     scored = quality_model.score_quality(docs, model, carry=COLUMNS[1:])
     return scored.where("predicted = 1").select(*COLUMNS)
 
 
 def apply_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the adaptive quality rules keep; the verdicts are joined back by id."""
-    judged = quality_rules.quality_rules(docs)
-    return _without(docs, judged.where("NOT kept").select("doc_id"))
+    """Documents that the adaptive quality rules keep, each judged by its own row whatever its id.
+
+    Null or empty texts fail; rows that repeat are all kept or all dropped; an empty table stays empty.
+    """
+    return quality_rules.quality_rules(docs, keep=COLUMNS[1:]).where("kept").select(*COLUMNS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies by shingles of five words; of rows that repeat an id, one."""
-    judged = near_dedup.near_duplicates(docs, percent=PERCENT, shingle=SHINGLE)
-    kept = _without(docs, judged.where("NOT kept").select("doc_id"))
-    repeated = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if repeated.isEmpty():
-        return kept.select(*COLUMNS)
-    once = kept.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(
-        F.min(F.struct(*COLUMNS[1:])).alias("row")
-    )
-    return kept.join(repeated, "doc_id", "left_anti").select(*COLUMNS).unionByName(once.select("doc_id", "row.*"))
+    """One document of each group of near copies by shingles of five words: the one with the smallest id, null ids last.
+
+    Rows are linked under keys of their own, so that ids may be null or repeat: different texts under one id stay, and of rows
+    that repeat one stays. Texts without words are linked with nothing and stay; an empty table stays empty.
+    """
+    keyed = materialise(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("_row")), "keyed")
+    judged = near_dedup.near_duplicates(keyed, "_row", percent=PERCENT, shingle=SHINGLE)
+    grouped = judged.where("NOT kept").select("_row", "component_id")
+    linked = materialise(grouped.union(grouped.select("component_id", "component_id").distinct()), "linked")
+    named = linked.join(keyed.select("_row", "doc_id"), "_row").withColumn("place", F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))
+    first = materialise(named.groupBy("component_id").agg(F.min("place").alias("place")).select(F.col("place._row").alias("_row")), "first")
+    dropped = linked.select("_row").join(_sized(first), "_row", "left_anti")
+    return keyed.join(_sized(materialise(dropped, "dropped")), "_row", "left_anti").select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
-    taken = materialise(mixing.mix_sources(docs).where("copies <> 1").select("doc_id", "source", "copies"), "copies")
-    changed = taken.groupBy("doc_id", "source").agg(F.min("copies").alias("copies"))
-    matched = F.col("d.doc_id").eqNullSafe(F.col("t.doc_id")) & F.col("d.source").eqNullSafe(F.col("t.source"))
-    joined = docs.alias("d").join(_sized(changed).alias("t"), matched, "left")
-    copies = F.coalesce("t.copies", F.lit(1)).cast("int")
-    return joined.select(*(F.col(f"d.{c}") for c in COLUMNS), copies.alias("_copies")).where("_copies > 0").select(
-        *COLUMNS, F.explode(F.sequence(F.lit(1), "_copies")).alias("_copy")
-    ).drop("_copy")
+    """Documents as often as the mix takes them, each by its own row whatever its id.
+
+    Documents without words are never taken twice; rows that repeat are taken one by one; an empty table stays empty.
+    """
+    mixed = mixing.mix_sources(docs, carry=("text", "lang", "n_chars"))
+    copies = F.when(F.col("size") == 0, F.least("copies", F.lit(1))).otherwise(F.col("copies")).cast("int")
+    taken = mixed.withColumn("_copies", copies).where("_copies > 0")
+    return taken.select(*COLUMNS, F.explode(F.sequence(F.lit(1), "_copies")).alias("_copy")).drop("_copy")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document that the mix took, with both checks."""
+    """Token ids of each document that the mix took, with both checks; null texts have null ids, repeated rows equal results."""
     return sentencepiece_codec.encode_documents(docs, carry=("lang", "source"))
 
 
@@ -67,21 +74,15 @@ STAGES = [
 #: The classifier and the tokenizer can't be expressed in SQL; tests/llm holds run() against a brute-force version.
 ORACLE_SQL = None
 
-#: Most rows broadcast when rows are chosen by id; beyond it the documents are shuffled by id.
+#: Most row keys broadcast (8 bytes each); beyond it the documents are shuffled by key.
 BROADCAST_ROWS = 2_000_000
 
 
 def _sized(ids: DataFrame) -> DataFrame:
+    """A table of one id a row, broadcast if its counted rows are few."""
     return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
 
 
-def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """docs but for the rows with a dropped id; ids are matched null-safely."""
-    dropped = materialise(dropped.distinct(), "dropped")
-    matched = F.col("d.doc_id").eqNullSafe(F.col("x.doc_id"))
-    return docs.alias("d").join(_sized(dropped).alias("x"), matched, "left_anti").select(*COLUMNS)
-
-
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for at, (name, stage) in enumerate(STAGES):
