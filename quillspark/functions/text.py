@@ -49,6 +49,18 @@ def is_nameable(name: Column) -> Column:
     )
 
 
+def is_nameable_old(name: Column) -> Column:
+    """The earlier predicate, an arm of comparisons: of one to four words, by first word and whole name as they are written."""
+    words = tokens(name)
+    first = F.coalesce(F.get(words, F.lit(0)).isin(*S.OLD_FUNCTION_WORDS), F.lit(False))
+    return F.size(words).between(1, 4) & ~first & ~name.isin(*S.OLD_GENERIC)
+
+
+def mentions_word(text: Column, name: Column) -> Column:
+    """Whether a name stands in a text between word boundaries, in any case."""
+    return F.regexp_instr(F.lower(text), F.concat(F.lit("(?U)\\b\\Q"), F.lower(name), F.lit("\\E\\b"))) > 0
+
+
 def core_tokens(name: Column) -> Column:
     """Distinct words without titles and articles."""
     return F.array_except(tokens(F.lower(name)), F.array(*map(F.lit, S.HONORIFICS)))
@@ -93,8 +105,8 @@ def question_reverse(entity: Column, relation: Column) -> Column:
 def name_shape(name: Column) -> Column:
     """title, particle, multiword or plain."""
     return (
-        F.when(name.rlike(r"(?i)^(sir|king|queen|lord|lady|prince|princess|dr\.?|mr\.?|mrs\.?|miss)\s+"), "title")
-        .when(name.rlike(r"(?i)\b(van|von|de|di|du|der|le|la)\s+"), "particle")
+        F.when(name.rlike(S.TITLE_PATTERN), "title")
+        .when(name.rlike(S.PARTICLE_PATTERN), "particle")
         .when(F.size(tokens(name)) >= 3, "multiword")
         .otherwise("plain")
     )

@@ -103,3 +103,96 @@ def accuracy_at(ranked: DataFrame, ks: tuple[int, ...]) -> DataFrame:
     return best.select(F.inline(F.array(*(F.struct(F.lit(k).alias("k"), (F.coalesce("best", F.lit(2**31 - 1)) <= k).alias("ok")) for k in ks)))).groupBy("k").agg(
         F.round(F.avg(F.col("ok").cast("double")), 6).alias("accuracy")
     )
+
+
+def possessive_questions(edge_table: DataFrame) -> DataFrame:
+    """(book_id, seq, relation, kind, subject, question): each templated edge asked by its noun and by the noun's first synonym."""
+    nouns = F.create_map(*(F.lit(x) for kv in S.RELATION_NOUNS.items() for x in kv))
+    synonyms = F.create_map(*(F.lit(x) for r, ns in S.NOUN_SYNONYMS.items() for x in (r, ns[0])))
+    asked = lambda kind, subject, noun: F.struct(
+        F.lit(kind).alias("kind"), subject.alias("subject"), F.concat(F.lit("Who is "), subject, F.lit("'s "), noun, F.lit("?")).alias("question")
+    )
+    both = F.array(
+        asked("anchor_noun", F.col("dst"), F.try_element_at(nouns, F.col("relation"))),
+        asked("synonym_noun", F.col("src"), F.try_element_at(synonyms, F.col("relation"))),
+    )
+    return edge_table.select("book_id", "seq", "relation", F.inline(both)).where("question IS NOT NULL")
+
+
+def failure_bucket(relation: Column, kind: Column) -> Column:
+    """Whether a failed possessive question was to be expected, and why, or is new."""
+    return (
+        F.when((kind == "synonym_noun") & ~relation.isin(*S.NOUN_SYNONYMS), "EXPECTED no synonym")
+        .when(~relation.isin(*S.PREDICATES), "EXPECTED untemplated").otherwise("NEW")
+    )
+
+
+def direction_accuracy(questions: DataFrame, hits: DataFrame, facts: DataFrame, ks: tuple[int, ...]) -> DataFrame:
+    """(k, n_questions, baseline, hybrid): is the fact asked for the first hit itself, and is it among the facts of the first k hits?
+
+    questions (qid, relation, answer); hits (qid, place, relation, entity2); facts (qid, place, relation, dst). One ranking to the
+    largest k serves all.
+    """
+    own = questions.select("qid", F.col("relation").alias("asked"), "answer")
+    first = hits.where("place = 1").select("qid", F.col("relation").alias("hr"), F.col("entity2").alias("he"))
+    met = facts.join(own, "qid").where("relation = asked AND dst = answer").groupBy("qid").agg(F.min("place").alias("best"))
+    each = own.join(first, "qid", "left").join(met, "qid", "left").select(
+        F.coalesce((F.col("hr") == F.col("asked")) & (F.col("he") == F.col("answer")), F.lit(False)).cast("double").alias("top"),
+        F.coalesce("best", F.lit(2**31 - 1)).alias("best"),
+    )
+    per_k = each.select("top", F.inline(F.array(*(F.struct(F.lit(k).alias("k"), (F.col("best") <= k).cast("double").alias("ok")) for k in ks))))
+    return per_k.groupBy("k").agg(F.count("*").alias("n_questions"), F.round(F.avg("top"), 6).alias("baseline"), F.round(F.avg("ok"), 6).alias("hybrid"))
+
+
+def answer_among_hits(questions: DataFrame, hits: DataFrame) -> DataFrame:
+    """(hops, n_questions, accuracy): is the answer an end of any hit? questions (qid, hops, answer); hits (qid, entity1, entity2)."""
+    found = hits.join(questions.select("qid", "answer"), "qid").where("entity1 = answer OR entity2 = answer").select("qid").distinct().withColumn("ok", F.lit(True))
+    return questions.join(found, "qid", "left").groupBy("hops").agg(
+        F.count("*").alias("n_questions"), F.round(F.avg(F.col("ok").isNotNull().cast("double")), 6).alias("accuracy")
+    )
+
+
+def canonical_outcome(rows: DataFrame, resolutions: DataFrame, *keys: str) -> DataFrame:
+    """(keys, outcome): outcome of answers against gold, both sides replaced by their canonical names. rows: (book_id, keys, answers, gold)."""
+    from quillspark.operators import resolution
+
+    parts = F.array(F.struct(F.lit("a").alias("side"), F.col("answers").alias("names")), F.struct(F.lit("g").alias("side"), F.col("gold").alias("names")))
+    members = rows.select("book_id", *keys, F.inline(parts)).select("book_id", *keys, "side", F.explode_outer("names").alias("name"))
+    named = resolution.resolve(members, resolutions, "name")
+    pick = lambda side: F.collect_set(F.when(F.col("side") == side, F.col("canonical")))
+    return named.groupBy("book_id", *keys).agg(pick("a").alias("answers"), pick("g").alias("gold")).select(
+        "book_id", *keys, outcome(F.col("answers"), F.col("gold")).alias("outcome")
+    )
+
+
+def retrieval_flags(questions: DataFrame, hits: DataFrame, facts: DataFrame) -> DataFrame:
+    """(qid, anchor_retrieved, first_step_retrieved) of nested questions (qid, anchor, relation, first_nodes).
+
+    The anchor is retrieved if a hit has it at an end; the first step if such a hit's other end is one of first_nodes and any fact
+    between the two has the first relation.
+    """
+    at = hits.join(questions, "qid").where("entity1 = anchor OR entity2 = anchor")
+    other = F.when(F.col("entity1") == F.col("anchor"), F.col("entity2")).otherwise(F.col("entity1"))
+    known = facts.select("qid", "place", F.col("relation").alias("fact")).distinct()
+    stepped = at.withColumn("other", other).where(F.array_contains("first_nodes", F.col("other"))).join(known, ["qid", "place"]).where("fact = first_relation")
+    a, s = at.select("qid").distinct().withColumn("a", F.lit(True)), stepped.select("qid").distinct().withColumn("s", F.lit(True))
+    return questions.select("qid").join(a, "qid", "left").join(s, "qid", "left").select(
+        "qid", F.col("a").isNotNull().alias("anchor_retrieved"), F.col("s").isNotNull().alias("first_step_retrieved")
+    )
+
+
+def lost_hits(before: DataFrame, after: DataFrame, *keys: str) -> DataFrame:
+    """(population, n, pure, single, median_gold): hits that are asked no more, beside all hits of before. rows: (keys, outcome, precision, gold_size)."""
+    hits = before.where("outcome = 'HIT'").join(after.select(*keys).distinct().withColumn("kept", F.lit(True)), list(keys), "left")
+    lost = hits.where("kept IS NULL").withColumn("population", F.lit("lost"))
+    return hits.withColumn("population", F.lit("all")).unionByName(lost).groupBy("population").agg(
+        F.count("*").alias("n"), F.count_if(F.col("precision") == 1).alias("pure"), F.count_if(F.col("gold_size") == 1).alias("single"),
+        F.expr("percentile(gold_size, 0.5)").alias("median_gold"),
+    )
+
+
+def gate_outcomes(rows: DataFrame) -> DataFrame:
+    """(gate, same_relation, outcome, n, share): outcomes by gate and by whether a walk repeats a relation, with the share of each such row."""
+    n = rows.groupBy("gate", "same_relation", "outcome").agg(F.count("*").alias("n"))
+    total = F.sum("n").over(Window.partitionBy("gate", "same_relation"))  # a few rows
+    return n.select("gate", "same_relation", "outcome", "n", F.round(F.col("n") / total, 6).alias("share"))

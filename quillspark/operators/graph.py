@@ -136,11 +136,11 @@ def frontier_category(frontier) -> Column:
     )
 
 
-def two_step_walks(edge_table: DataFrame) -> DataFrame:
-    """(book_id, anchor, first, second, gold): two role steps from nameable anchors, through a single middle node only."""
+def two_step_walks(edge_table: DataFrame, nameable=X.is_nameable) -> DataFrame:
+    """(book_id, anchor, first, second, gold): two role steps from anchors that `nameable` admits, through a single middle node only."""
     step = steps(edge_table).withColumn("label", F.concat_ws(":", "relation", "role"))
     first = (
-        step.where(X.is_nameable(F.col("node"))).where("next <> node")
+        step.where(nameable(F.col("node"))).where("next <> node")
         .groupBy("book_id", F.col("node").alias("anchor"), F.col("label").alias("first"))
         .agg(F.min("next").alias("middle"), F.max("next").alias("last")).where("middle = last").drop("last")
     )

@@ -10,8 +10,8 @@ from quillspark import schema as S
 from quillspark.functions import text as X
 
 
-def num_bins(total: Column) -> Column:
-    return F.least(F.lit(float(S.MAX_BINS)), F.greatest(F.lit(float(S.MIN_BINS)), total / F.lit(float(S.FACTS_PER_BIN)))).cast("int")
+def num_bins(total: Column, least: int = S.MIN_BINS, most: int = S.MAX_BINS, facts_per_bin: int = S.FACTS_PER_BIN) -> Column:
+    return F.least(F.lit(float(most)), F.greatest(F.lit(float(least)), total / F.lit(float(facts_per_bin)))).cast("int")
 
 
 def bin_of(chunk: Column, least: Column, most: Column, bins: Column) -> Column:
@@ -20,17 +20,17 @@ def bin_of(chunk: Column, least: Column, most: Column, bins: Column) -> Column:
     return F.least(bins.cast("long"), reached).cast("int")
 
 
-def temporal_index(edge_table: DataFrame) -> DataFrame:
-    """(book_id, min_chunk, max_chunk, n_edges, num_bins): one row for each book with edges."""
+def temporal_index(edge_table: DataFrame, **binning) -> DataFrame:
+    """(book_id, min_chunk, max_chunk, n_edges, num_bins): one row for each book with edges; binning sets num_bins's bounds."""
     return edge_table.groupBy("book_id").agg(
         F.min("chunk_id").alias("min_chunk"), F.max("chunk_id").alias("max_chunk"), F.count("*").alias("n_edges")
-    ).withColumn("num_bins", num_bins(F.col("n_edges")))
+    ).withColumn("num_bins", num_bins(F.col("n_edges"), **binning))
 
 
-def binned(edge_table: DataFrame, canonical_only: bool = True) -> DataFrame:
+def binned(edge_table: DataFrame, canonical_only: bool = True, **binning) -> DataFrame:
     """Edges with the bin of their chunk; the index counts all edges of the book."""
     kept = edge_table.where(X.is_canonical(F.col("relation"))) if canonical_only else edge_table
-    return kept.join(temporal_index(edge_table), "book_id").withColumn(
+    return kept.join(temporal_index(edge_table, **binning), "book_id").withColumn(
         "bin", bin_of(F.col("chunk_id"), F.col("min_chunk"), F.col("max_chunk"), F.col("num_bins"))
     )
 
@@ -40,10 +40,10 @@ def _dense(index: DataFrame, counts: DataFrame, keys: list[str]) -> DataFrame:
     return slots.join(counts, [*keys, "bin"], "left").select(*keys, "bin", F.coalesce("cnt", F.lit(0)).cast("long").alias("cnt"))
 
 
-def book_trajectory(edge_table: DataFrame, canonical_only: bool = True) -> DataFrame:
+def book_trajectory(edge_table: DataFrame, canonical_only: bool = True, **binning) -> DataFrame:
     """(book_id, bin, cnt) with a row for every bin, empty ones too."""
-    counts = binned(edge_table, canonical_only).groupBy("book_id", "bin").agg(F.count("*").alias("cnt"))
-    return _dense(temporal_index(edge_table), counts, ["book_id"])
+    counts = binned(edge_table, canonical_only, **binning).groupBy("book_id", "bin").agg(F.count("*").alias("cnt"))
+    return _dense(temporal_index(edge_table, **binning), counts, ["book_id"])
 
 
 def pair_trajectory(edge_table: DataFrame, pairs: DataFrame, canonical_only: bool = True) -> DataFrame:
@@ -99,25 +99,25 @@ def parse_phrase(query: Column) -> Column:
 
     ordered = lambda table: "|".join(table)
     fraction = ordered(S.FRACTIONS)
-    through = rf"\b(?:({ordered(S.NUMBERS)})|a)[\s-]({fraction})\s+(?:of\s+the\s+way\s+)?through\b"
+    through = S.THROUGH_PATTERN.format(numbers=ordered(S.NUMBERS), fractions=fraction)
     point = F.least(F.lit(1.0), F.coalesce(_value(S.NUMBERS, pick(through, 1), "double"), F.lit(1.0)) / _value(S.FRACTIONS, pick(through, 2), "double"))
     near = F.lit(S.NEAR_WINDOW / 2)
     a = F.when(q.rlike(through), span(F.greatest(F.lit(0.0), point - near), F.least(F.lit(1.0), point + near), F.lit("point_window"), pick(through, 0)))
 
-    part = rf"\b(?:the\s+)?({ordered(S.ORDINALS)})\s+({fraction})\b(?:\s+of\s+the\s+(?:book|story|narrative))?"
+    part = S.PART_PATTERN.format(ordinals=ordered(S.ORDINALS), fractions=fraction)
     parts = _value(S.FRACTIONS, pick(part, 2), "double")
     index = _value(S.ORDINALS, pick(part, 1), "double")
     index = F.when(index == -1, parts - 1).otherwise(index)
     b = F.when(q.rlike(part) & (index < parts), span(index / parts, (index + 1) / parts, F.lit("fractional_span"), pick(part, 0)))
 
-    edge = r"\b(early|late)\s+(?:in|on)\s+the\s+(?:book|story|narrative)\b"
+    edge = S.EDGE_PATTERN
     early = pick(edge, 1) == "early"
     c = F.when(
         q.rlike(edge),
         span(F.when(early, 0.0).otherwise(1.0 - S.EDGE_WINDOW), F.when(early, S.EDGE_WINDOW).otherwise(1.0), F.lit("point_window"), pick(edge, 0)),
     )
 
-    anchor = rf"\b(near|around|about|close to|towards?|by|right at|exactly at)?\s*(?:the\s+)?({_words(S.ANCHORS)})\b"
+    anchor = S.ANCHOR_PATTERN.format(anchors=_words(S.ANCHORS))
     at = _value(S.ANCHORS, pick(anchor, 2), "double")
     modifier = F.regexp_extract(q, anchor, 1)
     half = F.when(modifier.isin("right at", "exactly at"), F.lit(S.EXACT_WINDOW / 2)).otherwise(near)

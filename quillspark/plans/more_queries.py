@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from quillspark import schema as S
 from quillspark.functions import text as X
 from quillspark.operators import evaluation, graph, paths, questions as Q
-from quillspark.plans.common import ARCS, EVENTS, LINES, STEPS, ask_forward, ask_reverse, event_edges, event_nodes, flat, line_edges, listed, query, words
+from quillspark.plans.common import SYMMETRIC, ARCS, EVENTS, LINES, STEPS, ask_forward, ask_reverse, event_edges, event_nodes, flat, line_edges, listed, pronoun, query, words
 from quillspark.plans.graph_queries import _NODES
 from quillspark.plans.other_queries import _C, _DIR_ROWS, _chunks, _direction
 from quillspark.sources import relations as R
@@ -25,17 +25,14 @@ def books(spark, sf_dir):
     return r.groupBy("book_id").agg(F.min_by("entity1", "seq").alias("title"), F.count("*").alias("n_edges"))
 
 
-_PRONOUN_LIKE = ("he", "she", "it", "they", "him", "her", "them", "his", "hers", "their", "himself", "herself", "itself", "themselves")
-
-
 @query(f"""with {EVENTS}, names as (select entity1 as name from raw union select entity2 from raw)
-select name, coalesce(lower({words('name')}[1]) in {listed(_PRONOUN_LIKE)} or (lower({words('name')}[1]) in ('the', 'his', 'her', 'their', 'a', 'an')
+select name, coalesce(lower({words('name')}[1]) in {listed(S.PRONOUN_LIKE)} or (lower({words('name')}[1]) in {listed(S.ARTICLE_LIKE)}
   and len([w for w in {words('name')} if regexp_matches(w, '^[A-Z]')]) = 0), false) as generic from names""")
 def generic_looking_names(spark, sf_dir):
     names = R.event_relations(spark, sf_dir).select(F.explode(F.array("entity1", "entity2")).alias("name")).distinct()
     first = F.lower(F.get(X.tokens(F.col("name")), F.lit(0)))
     capital = F.exists(X.tokens(F.col("name")), lambda t: t.rlike("^[A-Z]"))
-    generic = first.isin(*_PRONOUN_LIKE) | (first.isin("the", "his", "her", "their", "a", "an") & ~capital)
+    generic = first.isin(*S.PRONOUN_LIKE) | (first.isin(*S.ARTICLE_LIKE) & ~capital)
     return names.select("name", F.coalesce(generic, F.lit(False)).alias("generic"))
 
 
@@ -86,14 +83,26 @@ def two_hop_questions(spark, sf_dir):
     return flat(p.where("question IS NOT NULL").select("book_id", "start", F.col("end").alias("answer"), "rank", "question"))
 
 
-@query(f"""with {EVENTS}, {_NODES}, {ARCS}, {_EXACT} select count(*) as n_questions, 1.0::double as agreement_rate, 1.0::double as reachable_rate from (select distinct book_id, start, cur from exact where start <> cur)""")
+@query(f"""with {EVENTS}, {_NODES}, {ARCS}, {_EXACT}, q as (select distinct book_id, start, cur as node from exact where start <> cur),
+step as (select distinct book_id, node, other from arcs),
+ours as (select s.book_id, s.node as start, s.other as node from step s union select a.book_id, a.node, b.other from step a join step b on a.book_id = b.book_id and a.other = b.node),
+view as (select book_id, src, dst from e union select book_id, dst, src from e where relation in {SYMMETRIC}),
+theirs as (select book_id, src as start, dst as node from view union select a.book_id, a.src, b.dst from view a join view b on a.book_id = b.book_id and a.dst = b.src),
+f as (select q.*, o.node is not null as a, t.node is not null as b from q left join ours o on (o.book_id, o.start, o.node) = (q.book_id, q.start, q.node)
+  left join theirs t on (t.book_id, t.start, t.node) = (q.book_id, q.start, q.node))
+select count(*) as n_questions, avg((a = b)::int::double) as agreement_rate, avg(b::int::double) as reachable_rate from f""")
 def reachability_agreement(spark, sf_dir):
-    """Ends of sampled paths against the breadth-first search: two ways to the same facts."""
+    """Ends of sampled paths by the search over arcs, and by joins of the mirrored edges, which know no arcs."""
     ends = _exact_paths(spark, sf_dir).where("start <> `end`").select("book_id", "start", F.col("end").alias("node")).distinct()
-    reach = paths.reach(ends.select("book_id", "start").distinct(), graph.arcs(event_edges(spark, sf_dir)), 2)
-    joined = ends.join(reach, ["book_id", "start", "node"], "left")
-    found = F.avg(F.col("depth").isNotNull().cast("double"))
-    return joined.agg(F.count("*").alias("n_questions"), found.alias("agreement_rate"), found.alias("reachable_rate"))
+    e = event_edges(spark, sf_dir)
+    reach = paths.reach(ends.select("book_id", "start").distinct(), graph.arcs(e), 2)
+    view = graph.mirrored(e).select("book_id", F.col("src").alias("start"), F.col("dst").alias("node")).distinct()
+    onward = view.select("book_id", F.col("start").alias("middle"), "node")
+    two = view.withColumnRenamed("node", "middle").join(onward, ["book_id", "middle"]).select("book_id", "start", "node")
+    near = view.unionByName(two).distinct().withColumn("near", F.lit(True))
+    joined = ends.join(reach, ["book_id", "start", "node"], "left").join(near, ["book_id", "start", "node"], "left")
+    ours, theirs = F.col("depth").isNotNull(), F.col("near").isNotNull()
+    return joined.agg(F.count("*").alias("n_questions"), F.avg((ours == theirs).cast("double")).alias("agreement_rate"), F.avg(theirs.cast("double")).alias("reachable_rate"))
 
 
 @query(f"""with {EVENTS}, {_NODES}, {ARCS}, {_EXACT}, d as (select book_id, node, count(*) as degree from (select book_id, src as node from e union all select book_id, dst from e) group by all),
@@ -128,7 +137,7 @@ def disjoint_samples(spark, sf_dir):
 
 
 @query(f"""with {EVENTS}, {STEPS}, f as (select book_id, node, relation, role, list(distinct next) as members from steps where role <> 'sym' group by all having count(distinct next) > 1)
-select count(*) as before, count(*) filter (len([m for m in members if m <> 'her son']) > 1) as after from f""")
+select count(*) as before, count(*) filter (len([m for m in members if not {pronoun('m')}]) > 1) as after from f""")
 def functional_frontiers(spark, sf_dir):
     """Directed steps that lead to several members, before and after pronoun-like names are removed."""
     f = graph.steps(event_edges(spark, sf_dir)).where("role <> 'sym'").groupBy("book_id", "node", "relation", "role").agg(

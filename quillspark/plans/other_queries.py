@@ -279,8 +279,10 @@ def outcome_shares(spark, sf_dir):
     return evaluation.outcome_shares(_outcomes(spark, sf_dir, "few"), "book_id")
 
 
-@query(f"""with {_OUT} select count(*) as n_both, 0::bigint as only_old, 0::bigint as only_new, count(*) filter (o_few <> 'HIT' and o_all = 'HIT') as gained,
-  count(*) filter (o_few = 'HIT' and o_all <> 'HIT') as lost from oc""")
+@query(f"""with {_OUT}, a as (select book_id, anchor, first, second, o_few from oc), b as (select book_id, anchor, first, second, o_all from oc),
+p as (select o_few, o_all from a full join b using (book_id, anchor, first, second))
+select count(*) filter (o_few is not null and o_all is not null) as n_both, count(*) filter (o_all is null) as only_old, count(*) filter (o_few is null) as only_new,
+  count(*) filter (o_few <> 'HIT' and o_all = 'HIT') as gained, count(*) filter (o_few = 'HIT' and o_all <> 'HIT') as lost from p""")
 def paired_comparison(spark, sf_dir):
     return evaluation.paired(_outcomes(spark, sf_dir, "few"), _outcomes(spark, sf_dir, "all"), "book_id", "anchor", "sequence")
 
@@ -297,22 +299,11 @@ def degree_quartiles(spark, sf_dir):
     return evaluation.quartiles(graph.degrees(line_edges(spark, sf_dir)), "degree")
 
 
-@query()
-def hybrid_hits(spark, sf_dir):
-    """Vector hits of a question for every fiftieth edge, with their direction; checked against brute force in the tests."""
-    return _hybrid(spark, sf_dir)[0].select("qid", "place", "id", "direction_match", "expand_from")
-
-
 @query()
 def hybrid_chains(spark, sf_dir):
     return flat(_hybrid(spark, sf_dir)[2].select("hit_id", "path", "relations", "directions", "answer"))
 
 
-@query()
-def hybrid_facts(spark, sf_dir):
-    return retrieval.distinct_facts(_hybrid(spark, sf_dir)[1]).select("qid", "place", "src", "relation", "dst", "chunk_id")
-
-
 def _hybrid(spark, sf_dir):
     relations = R.event_relations(spark, sf_dir)
     e = graph.edges(relations)

@@ -73,7 +73,44 @@ NOUN_SYNONYMS = {
     "spouse_of": ("husband", "wife"), "child_of": ("son", "daughter"), "sibling_of": ("brother", "sister"),
     "parent_mother_of": ("son", "daughter"), "parent_father_of": ("son", "daughter"),
 }
-MIN_ANCHOR_LENGTH = 5
+
+# The noun by which a question names a relation; relations without one are named by no noun.
+RELATION_NOUNS = {
+    "parent_father_of": "father", "parent_mother_of": "mother", "child_of": "child", "sibling_of": "sibling", "spouse_of": "spouse",
+    "relative_of": "relative", "adopted_by": "adopted", "companion_of": "companion", "friend_of": "friend", "lover_of": "lover",
+    "rival_of": "rival", "enemy_of": "enemy", "mentor_of": "mentor", "teacher_of": "teacher", "protector_of": "protector",
+    "employer_of": "employer", "leader_of": "leader", "member_of": "member", "born_in": "born", "located_in": "located", "part_of": "part",
+    "owned_by": "owned", "occupied_by": "occupied", "used_by": "used", "experienced_by": "experienced", "based_in": "based",
+    "attended_by": "attended", "stored_in": "stored", "expressed_by": "expressed", "associated_with": "associated",
+}
+
+# Patterns by which a question mentions a noun, after an article and before "of", or after a possessor.
+NOUN_OF = r"\b{article}\s+(?:\w+\s+){{0,2}}{noun}\s+of\b"
+OWNED_NOUN = r"\b\w+'s\s+(?:\w+\s+){{0,2}}{noun}(?:'s\b|[?,]|$)"
+AFTER_OWNER = r"(?:\s+\w+){{0,2}}'s\s+(?:\w+\s+){{0,2}}(?:{nouns})(?:'s\b|[?,]|$)"
+
+# First words that make a name look generic, and articles that do so before a name without capitals.
+PRONOUN_LIKE = ("he", "she", "it", "they", "him", "her", "them", "his", "hers", "their", "himself", "herself", "itself", "themselves")
+ARTICLE_LIKE = ("the", "his", "her", "their", "a", "an")
+
+# Patterns of titles and particles in names.
+TITLE_PATTERN = r"(?i)^(sir|king|queen|lord|lady|prince|princess|dr\.?|mr\.?|mrs\.?|miss)\s+"
+PARTICLE_PATTERN = r"(?i)\b(van|von|de|di|du|der|le|la)\s+"
+
+# First words and whole names that the earlier predicate of nameable entities rules out, as they are written.
+OLD_FUNCTION_WORDS = (
+    "he", "she", "her", "his", "him", "you", "your", "my", "me", "i", "we", "our", "us", "they", "them", "their", "it", "its", "the", "a",
+    "an", "this", "that", "these", "those", "some", "little", "young", "old",
+)
+OLD_GENERIC = (
+    "husband", "wife", "son", "daughter", "brother", "sister", "party", "people", "man", "woman", "boy", "girl", "baby", "lady",
+)
+
+# Relations that look like events.
+EVENT_RELATIONS = (
+    "killed_by", "kills", "married_to", "marries", "attacked_by", "attacks", "captured_by", "captures", "rescued_by", "rescues", "died",
+    "born", "fought", "wounded_by", "wounds",
+)
 
 # Fixed values: (relation, slot of the stored triple that the noun names, noun that phrases questions).
 ROLE_STEPS = (
@@ -100,6 +137,11 @@ FRACTIONS = {
     "fifths": 5, "tenth": 10, "tenths": 10,
 }
 NUMBERS = {"one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9}
+# Patterns of phrases of relative position, with the vocabularies above as alternatives.
+THROUGH_PATTERN = r"\b(?:({numbers})|a)[\s-]({fractions})\s+(?:of\s+the\s+way\s+)?through\b"
+PART_PATTERN = r"\b(?:the\s+)?({ordinals})\s+({fractions})\b(?:\s+of\s+the\s+(?:book|story|narrative))?"
+EDGE_PATTERN = r"\b(early|late)\s+(?:in|on)\s+the\s+(?:book|story|narrative)\b"
+ANCHOR_PATTERN = r"\b(near|around|about|close to|towards?|by|right at|exactly at)?\s*(?:the\s+)?({anchors})\b"
 NEAR_WINDOW, EXACT_WINDOW, EDGE_WINDOW = 0.10, 0.03, 0.15
 
 # Stop words that betray a language, in the order of preference.

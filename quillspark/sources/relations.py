@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quillspark import schema as S
 
@@ -49,10 +50,15 @@ def load_chunks(raw: DataFrame) -> DataFrame:
 
 
 def explode_relations(chunks: DataFrame) -> DataFrame:
-    """(book_id, chunk_id, seq, entity1, entity2, entity1Type, entity2Type, relation), seq in order of chunk and place."""
-    return chunks.select("book_id", "chunk_id", F.posexplode("relations_parsed").alias("pos", "r")).select(
-        "book_id", "chunk_id", (F.col("chunk_id").cast("long") * 100_000 + F.col("pos")).alias("seq"), "r.*"
-    )
+    """(book_id, chunk_id, seq, entity1, entity2, entity1Type, entity2Type, relation), seq in order of chunk and place.
+
+    Chunks without a number come last; rows that repeat a chunk follow each other in order of their content, so that no two relations
+    of different content share a seq (up to 1,000 rows a chunk and 100,000 relations a row).
+    """
+    again = F.row_number().over(Window.partitionBy("book_id", "chunk_id").orderBy(F.to_json("relations_parsed"))) - 1
+    numbered = chunks.withColumn("_again", again).select("book_id", "chunk_id", "_again", F.posexplode("relations_parsed").alias("pos", "r"))
+    chunk = F.coalesce(F.col("chunk_id").cast("long"), F.lit(2**31))
+    return numbered.select("book_id", "chunk_id", ((chunk * 1_000 + F.col("_again")) * 100_000 + F.col("pos")).alias("seq"), "r.*")
 
 
 #: Events as a small dense multigraph in eight books; one relation for each chunk, so that seq is chunk_id.
@@ -120,5 +126,21 @@ def read_csv(spark: SparkSession, path: str, encoding: str = "windows-1252") ->
     return spark.read.option("header", True).option("encoding", encoding).csv(path)
 
 
+def run_folder(base: str, started) -> str:
+    """The folder of one run's results, named by the moment it began."""
+    return f"{base.rstrip('/')}/{started:%Y%m%d_%H%M%S}"
+
+
+def read_resolutions(spark: SparkSession, path: str) -> DataFrame:
+    """A stored resolution table; a ValueError names columns that are missing or of another type."""
+    wanted = {"book_id": "string", "raw_name": "string", "tier": "string", "canonical_form": "string"}
+    found = spark.read.parquet(path)
+    kinds = dict(found.dtypes)
+    wrong = [c for c, t in wanted.items() if kinds.get(c) != t and not (c == "book_id" and kinds.get(c) == "int")]
+    if wrong:
+        raise ValueError(f"{path} has no string column {', '.join(wrong)}")
+    return found.select(*(F.col(c).cast("string").alias(c) for c in wanted))
+
+
 def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)

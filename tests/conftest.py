@@ -1,6 +1,7 @@
 import os
 import sys
 
+import pandas as pd
 import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -44,7 +45,7 @@ def rows(frame):
     columns = sorted(frame.columns)
 
     def cell(v):
-        if v is None or v != v:
+        if v is None or pd.isna(v):
             return "NULL"
         return repr(round(float(v), 9)) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
 

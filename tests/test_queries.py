@@ -37,7 +37,7 @@ def plain_embedding(text, dimensions=64):
 
 def test_hybrid_hits_brute_force(spark):
     from quillspark.operators import evaluation, graph, vector
-    from quillspark.plans.other_queries import hybrid_hits
+    from quillspark.plans.evaluation_queries import hybrid_hits
     from quillspark.sources import relations as R
 
     r = R.event_relations(spark, SF)
