@@ -68,3 +68,16 @@ def test_fuzzy_pairs_brute_force(spark):
         if b == c and x < y and difflib.SequenceMatcher(None, x, y).ratio() > 0.6
     }
     assert {(r["book_id"], r["a"], r["b"]) for r in fuzzy_name_pairs(spark, SF).collect()} == truth
+
+
+def test_three_hop_questions(spark, duck):
+    from quillspark.plans.evaluation_queries import THREE_HOP_SQL, three_hop_questions
+
+    assert rows(three_hop_questions(spark, SF).toPandas()) == rows(duck.sql(THREE_HOP_SQL).df())
+
+
+def test_retrieval_is_stable(spark):
+    from quillspark.plans.evaluation_queries import retrieval_stability
+
+    found = retrieval_stability(spark, SF).first()
+    assert found["n_questions"] == found["n_equal"] > 0
