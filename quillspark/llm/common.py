@@ -113,16 +113,32 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, BATCH_ROWS)
 
 
+def _gnu(name: str, *values: int) -> None:
+    """Call a function that only the GNU library has."""
+    import ctypes
+
+    found = getattr(ctypes.CDLL(None), name, None)
+    if found is not None:
+        found(*values)
+
+
+#: Fixed values of malloc.h: the numbers of two settings.
+M_MMAP_THRESHOLD, M_ARENA_MAX = -3, -8
+
+
+def share_arena() -> None:
+    """Let a worker's threads share one heap, and large blocks go back to the system as soon as they are freed."""
+    _gnu("mallopt", M_ARENA_MAX, 1)
+    _gnu("mallopt", M_MMAP_THRESHOLD, 1 << 20)
+
+
 def give_back() -> None:
     """Return a finished task's memory to the system, as Python workers live on between tasks."""
-    import ctypes
     import gc
 
     gc.collect()
     pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only the GNU library has it
-    if trim is not None:
-        trim(0)
+    _gnu("malloc_trim", 0)
 
 
 def map_rows(
@@ -138,6 +154,7 @@ def map_rows(
     fields = _parse_datatype_string(schema).fieldNames()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        share_arena()
         step = start()
         batch = rows = None
         for batch in batches:
@@ -145,6 +162,7 @@ def map_rows(
                 rows = list(step(zip(*(column.slice(at, SLICE_ROWS).to_pylist() for column in batch.columns))))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=fields)
+            _gnu("malloc_trim", 0)
         del step, batch, rows
         give_back()
 

@@ -17,6 +17,8 @@ MODEL_FILE = "piece_bpe_32k.model"
 THREADS = 2
 #: Marked words whose ids a task keeps.
 KEPT_WORDS = 150_000
+#: Characters of texts that are encoded and checked at a time, unless one text alone has more; bounds the lists of ids alive.
+PART_CHARS = 200_000
 #: Fixed values of the model format: kinds of pieces and of models.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
@@ -254,6 +256,20 @@ class MarkedWords(WholeTexts):
         return spelled.removeprefix(b" ") == text.encode() or self.tokenizer.decode(ids, skip_special_tokens=False) == text
 
 
+def parts(rows: list[tuple], most: int = PART_CHARS):
+    """Rows (id, text, ...) in a row, cut so that the texts of a part have at most so many characters or are one."""
+    part, chars = [], 0
+    for row in rows:
+        size = len(row[1] or "")
+        if part and chars + size > most:
+            yield part
+            part, chars = [], 0
+        part.append(row)
+        chars += size
+    if part:
+        yield part
+
+
 def codec(data: bytes, threads: int = THREADS, verify: bool = True) -> WholeTexts:
     model = PieceModel(data)
     marked = model.plain and model.dummy_prefix and model.words_apart() and any(p == SPACE for p, _, _ in model.pieces)
@@ -278,11 +294,10 @@ def encode_documents(
         apply = codec(data, threads, verify)
 
         def step(rows):
-            rows = list(rows)
-            texts = [r[1] for r in rows if r[1] is not None]
-            results = iter(zip(*apply(texts)))
-            for key, text, *rest in rows:
-                yield (key, *rest, *(next(results) if text is not None else (None, None, None)))
+            for part in parts(list(rows)):
+                results = iter(zip(*apply([r[1] for r in part if r[1] is not None])))
+                for key, text, *rest in part:
+                    yield (key, *rest, *(next(results) if text is not None else (None, None, None)))
 
         return step
 

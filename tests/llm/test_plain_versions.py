@@ -393,3 +393,11 @@ def test_pipeline_run_on_empty_and_edge_tables(spark, tmp_path):
         (labels if name == "edge" else labels.where("false")).write.parquet(str(tmp_path / name / "labels.parquet"))
         ran = corpus_pipeline.run(spark, str(tmp_path / name)).toPandas()
         assert len(ran) == 0 if name == "empty" else len(ran) >= 20 and ran.parity.all() and ran.doc_id.isna().any()
+
+
+def test_parts_bound_characters_and_keep_every_row():
+    rows = [(0, "ab"), (1, None), (2, "c" * 9), (3, ""), (4, "de"), (5, "f"), (6, "g" * 3)]
+    cut = list(sentencepiece_codec.parts(rows, 4))
+    assert [r for part in cut for r in part] == rows
+    assert cut == [rows[:2], rows[2:3], rows[3:6], rows[6:]]
+    assert list(sentencepiece_codec.parts([], 4)) == []
