@@ -93,13 +93,14 @@ f as (select q.*, o.node is not null as a, t.node is not null as b from q left j
 select count(*) as n_questions, avg((a = b)::int::double) as agreement_rate, avg(b::int::double) as reachable_rate from f""")
 def reachability_agreement(spark, sf_dir):
     """Ends of sampled paths by the search over arcs, and by joins of the mirrored edges, which know no arcs."""
-    ends = _exact_paths(spark, sf_dir).where("start <> `end`").select("book_id", "start", F.col("end").alias("node")).distinct()
-    e = event_edges(spark, sf_dir)
-    reach = paths.reach(ends.select("book_id", "start").distinct(), graph.arcs(e), 2)
+    ends = _exact_paths(spark, sf_dir).where("start <> `end`").select("book_id", "start", F.col("end").alias("node")).distinct().persist()  # few rows a book
+    e, starts = event_edges(spark, sf_dir), ends.select("book_id", "start").distinct()
+    reach = paths.reach(starts, graph.arcs(e), 2)
     view = graph.mirrored(e).select("book_id", F.col("src").alias("start"), F.col("dst").alias("node")).distinct()
     onward = view.select("book_id", F.col("start").alias("middle"), "node")
-    two = view.withColumnRenamed("node", "middle").join(onward, ["book_id", "middle"]).select("book_id", "start", "node")
-    near = view.unionByName(two).distinct().withColumn("near", F.lit(True))
+    first = view.join(starts, ["book_id", "start"], "left_semi")
+    two = first.withColumnRenamed("node", "middle").join(onward, ["book_id", "middle"]).select("book_id", "start", "node")
+    near = first.unionByName(two).distinct().withColumn("near", F.lit(True))
     joined = ends.join(reach, ["book_id", "start", "node"], "left").join(near, ["book_id", "start", "node"], "left")
     ours, theirs = F.col("depth").isNotNull(), F.col("near").isNotNull()
     return joined.agg(F.count("*").alias("n_questions"), F.avg((ours == theirs).cast("double")).alias("agreement_rate"), F.avg(theirs.cast("double")).alias("reachable_rate"))
