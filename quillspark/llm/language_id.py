@@ -26,23 +26,28 @@ class Hyperspace:
         letters = draw.integers(0, 2, (256, dimensions), dtype=np.int8) * 2 - 1
         self.rotated = [np.roll(letters, gram - 1 - i, axis=1) for i in range(gram)]
         self.codes: np.ndarray | None = None
-        self.row_of: dict[int, int] = {}
-        self.vectors = np.empty((1024, dimensions), np.float32)
-
-    def letter_codes(self) -> np.ndarray:
-        """Code of every code point: 0 for what is no letter, else 1 to 255; small letters of the first scripts have their own."""
-        if self.codes is None:
-            point = np.arange(0x110000)
+        self.forget()
+
+    def forget(self) -> None:
+        """Keep no n-gram vectors; row_of has one place for each n-gram, most of which are never touched."""
+        self.kept, self.row_of = 0, np.zeros(256**self.gram, np.int32)
+        self.vectors = np.empty((1024, self.dimensions), np.float32)
+
+    def letter_codes(self, size: int = 0x110000) -> np.ndarray:
+        """Code of the code points below size at least: 0 for what is no letter, else 1 to 255; small letters of the first scripts have their own."""
+        if self.codes is None or len(self.codes) < size:
+            size = min(0x110000, max(2 * size, 0x4000))  # texts rarely go far, so that the whole table is seldom made
+            point = np.arange(size)
             codes = (1 + (point * 2654435761 >> 7) % 255).astype(np.uint8)
             codes[:0x180] = 1 + point[:0x180] % 255
-            letter = np.fromiter((chr(p).isalpha() for p in range(0x110000)), bool, 0x110000)
+            letter = np.fromiter((chr(p).isalpha() for p in range(size)), bool, size)
             self.codes = np.where(letter, codes, 0).astype(np.uint8)
         return self.codes
 
     def grams(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """The distinct n-grams of the whole text's letters, runs of anything else as one space, and their counts."""
         points = np.frombuffer((text or "").lower().encode("utf-32-le"), np.uint32)
-        codes = self.letter_codes()[points]
+        codes = self.letter_codes(int(points.max(initial=0)) + 1)[points]
         if not codes.any():
             return np.empty(0, np.int64), np.empty(0, np.int64)
         codes = np.concatenate([[0], codes, [0]])
@@ -59,12 +64,12 @@ class Hyperspace:
         keys, counts = self.grams(text)
         if not len(keys):
             return None
-        if len(self.row_of) + len(keys) > KEPT_GRAMS:
-            self.row_of, self.vectors = {}, np.empty((1024, self.dimensions), np.float32)
-        rows = np.fromiter((self.row_of.get(k, -1) for k in keys.tolist()), np.int64, len(keys))
+        if self.kept + len(keys) > KEPT_GRAMS:
+            self.forget()
+        rows = self.row_of[keys].astype(np.int64) - 1
         missing = keys[rows < 0]
         if len(missing):
-            first, last = len(self.row_of), len(self.row_of) + len(missing)
+            first, last = self.kept, self.kept + len(missing)
             if last > len(self.vectors):
                 grown = np.empty((max(last, 2 * len(self.vectors)), self.dimensions), np.float32)
                 grown[:first] = self.vectors[:first]
@@ -73,8 +78,8 @@ class Hyperspace:
             for i in range(self.gram):
                 bound *= self.rotated[i][(missing >> (8 * (self.gram - 1 - i))) & 255]
             self.vectors[first:last] = bound
-            self.row_of.update(zip(missing.tolist(), range(first, last)))
             rows[rows < 0] = np.arange(first, last)
+            self.kept, self.row_of[missing] = last, np.arange(first + 1, last + 1)
         return counts.astype(np.float32) @ self.vectors[rows]
 
 
