@@ -140,10 +140,10 @@ class PieceModel:
         return built
 
 
-def _loaded(data: bytes, threads: int):
+def _loaded(data: bytes, threads: int, model: PieceModel | None = None):
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
     os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
-    model = PieceModel(data)
+    model = model or PieceModel(data)
     return model, model.tokenizer()
 
 
@@ -159,8 +159,8 @@ def unpack(ids: bytes) -> list[int]:
 class WholeTexts:
     """Encodes, decodes and checks batches of whole texts."""
 
-    def __init__(self, data: bytes, threads: int, verify: bool = True):
-        self.model, self.tokenizer = _loaded(data, threads)
+    def __init__(self, data: bytes, threads: int, verify: bool = True, model: PieceModel | None = None):
+        self.model, self.tokenizer = _loaded(data, threads, model)
         self.threads, self.checker = threads, None
         if verify:
             import sentencepiece
@@ -195,10 +195,10 @@ class MarkedWords(WholeTexts):
     begins with. Both checks are of each whole text: its joined ids are decoded, and sentencepiece encodes it anew.
     """
 
-    def __init__(self, data: bytes, threads: int, verify: bool = True):
+    def __init__(self, data: bytes, threads: int, verify: bool = True, model: PieceModel | None = None):
         from tokenizers import pre_tokenizers
 
-        super().__init__(data, threads, verify)
+        super().__init__(data, threads, verify, model)
         self.tokenizer.normalizer = None
         self.by_marker = pre_tokenizers.Metaspace(SPACE, "never", True)
         self.begins = np.array([p.startswith(SPACE) for p, _, _ in self.model.pieces])
@@ -245,7 +245,7 @@ class MarkedWords(WholeTexts):
         split = [self.split(t) for t in texts]
         if len(self.words) > KEPT_WORDS:
             self.words = {}
-        self.learn(list({w for words in split for w in words} - self.words.keys()))
+        self.learn(list(set().union(*split).difference(self.words)))
         packed = [b"".join(map(self.words.__getitem__, words)) for words in split]
         ids = [unpack(p) for p in packed]
         return packed, [self._decodes(t, i) for t, i in zip(texts, ids)], self.same(texts, ids)
@@ -273,7 +273,7 @@ def parts(rows: list[tuple], most: int = PART_CHARS):
 def codec(data: bytes, threads: int = THREADS, verify: bool = True) -> WholeTexts:
     model = PieceModel(data)
     marked = model.plain and model.dummy_prefix and model.words_apart() and any(p == SPACE for p, _, _ in model.pieces)
-    return (MarkedWords if marked else WholeTexts)(data, threads, verify)
+    return (MarkedWords if marked else WholeTexts)(data, threads, verify, model)
 
 
 def encode_documents(

@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from quillspark.llm import language_id
+from quillspark.llm import language_id, sentencepiece_codec
 
 
 def test_letter_codes_reach_as_far_as_the_texts():
@@ -23,3 +23,11 @@ def test_forgotten_grams_are_made_anew(monkeypatch):
     space = language_id.Hyperspace(64)
     assert all(np.array_equal(a, space.bundle(t)) for a, t in zip(kept, texts))
     assert isinstance(space.row_of, np.ndarray)
+
+
+def test_the_model_is_read_once(monkeypatch):
+    read, model = [], sentencepiece_codec.PieceModel
+    monkeypatch.setattr(sentencepiece_codec, "PieceModel", lambda data: read.append(1) or model(data))
+    with open(sentencepiece_codec.default_model(), "rb") as f:
+        sentencepiece_codec.codec(f.read(), 1, False)
+    assert len(read) == 1
