@@ -81,3 +81,12 @@ def test_retrieval_is_stable(spark):
 
     found = retrieval_stability(spark, SF).first()
     assert found["n_questions"] == found["n_equal"] > 0
+
+
+def test_stability_asks_every_templated_edge(spark, duck):
+    from quillspark import schema as S
+    from quillspark.plans.common import EVENTS, listed
+    from quillspark.plans.evaluation_queries import retrieval_stability
+
+    templated = duck.sql(f"with {EVENTS} select count(*) from e where relation in {listed(S.PREDICATES)}").df().iloc[0, 0]
+    assert retrieval_stability(spark, SF).first()["n_questions"] == templated
